@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versalake.llm import bpe_codec, token_files
+from versalake.llm import bpe_codec, language, line_dedup, mixing, sharding, token_files
 from versalake.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -24,3 +24,29 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer_path(), end=2)
+
+
+@query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op3_source_mix"] = mixing.SQL
+
+
+@query
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir), 16)
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(documents(spark, sf_dir))
+
+
+ORACLES["op8_line_dedup"] = line_dedup.SQL
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
