@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from versalake.llm import bpe_codec, language, line_dedup, mixing, sharding, token_files
+from versalake.llm import ann, bpe_codec, language, line_dedup, mixing, quality, sharding, token_files
 from versalake.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -50,3 +51,15 @@ ORACLES["op8_line_dedup"] = line_dedup.SQL
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(docs, quality.model(docs, labels))
+
+
+@query
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.neighbours(vectors, F.col("id") % 20 == 0, k=20)
