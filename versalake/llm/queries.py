@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versalake.llm import ann, bpe_codec, language, line_dedup, mixing, quality, sharding, token_files
+from versalake.llm import ann, bpe_codec, language, line_dedup, mixing, near_dedup, quality, sharding, token_files
 from versalake.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -63,3 +63,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return ann.neighbours(vectors, F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
