@@ -110,7 +110,7 @@ class ByteBPE:
             self.merged[r] = k
         self.split = regex.compile(PATTERN).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else None
-        self._power = np.ones(1, np.uint64)
+        self._power = np.ones(0, np.uint64)
         self._forget()
         self._table()
 
@@ -358,13 +358,10 @@ class ByteBPE:
         out, sizes = gather(ids, begin, np.concatenate(words)[order])
         return out, np.bincount(owner[order], weights=sizes, minlength=len(chunks)).astype(np.int64)
 
-    def encode_bytes(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts data[begin[i]:begin[i + 1]] (UTF-8), one after another, and where each text begins.
-
-        Texts are taken as chunks: a chunk starts at the text's start and at each space after something else than
-        white space, where a pre-token always starts. Chunks repeat, so each distinct one is encoded once."""
-        if not len(data):
-            return np.empty(0, np.int32), np.zeros(len(begin), np.int64)
+    def _chunks(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk of the texts starts, and its number in the memory. A chunk starts at the text's start and
+        at each space after something else than white space, where a pre-token always starts whatever else the text
+        holds. Chunks repeat, so each distinct one is encoded once."""
         if len(self._main[0]) > MEMO:
             self._forget()
         blank = _blank(data)
@@ -402,10 +399,24 @@ class ByteBPE:
             else:
                 order = np.argsort(keys)
                 self._late = keys[order], numbers[order]
-        out, sizes = gather(self._ids, self._at, number[back])
+        return p, number[back]
+
+    def encode_bytes(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[begin[i]:begin[i + 1]] (UTF-8), one after another, and where each text begins."""
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(len(begin), np.int64)
+        p, chunk = self._chunks(data, begin)
+        out, sizes = gather(self._ids, self._at, chunk)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return out, ends[np.searchsorted(p, begin)]
 
+    def count_bytes(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each chunk of the texts starts, and how many ids it has."""
+        if not len(data):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        p, chunk = self._chunks(data, begin)
+        return p, self._at[chunk + 1] - self._at[chunk]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text begins (one entry more than texts)."""
         raw = [(t or "").encode() for t in texts]

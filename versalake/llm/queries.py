@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versalake.llm import ann, bpe_codec, language, line_dedup, mixing, near_dedup, quality, sharding, token_files
+from versalake.llm import ann, bpe_codec, language, line_dedup, mixing, near_dedup, quality, sharding, token_files, token_trees
 from versalake.llm.common import documents, tokenizer_path
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trees.recount(documents(spark, sf_dir), tokenizer_path())
