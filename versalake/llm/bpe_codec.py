@@ -62,11 +62,13 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -
     return tokens.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Encodes, decodes the ids and adds n_tokens, ids_sha256 (of the decimal ids joined by commas) and
-    decoded_sha256 (of the decoded text's UTF-8), in one pass that sends no ids anywhere."""
+def digests(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -> DataFrame:
+    """Encodes, decodes the ids and puts in place of the text n_tokens, ids_sha256 (of the decimal ids joined by
+    commas) and decoded_sha256 (of the decoded text's UTF-8), with `ids` also the ids themselves, in one pass."""
     short_batches(docs.sparkSession)
     new = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if ids:
+        new.add("ids", T.ArrayType(T.IntegerType(), False))
     schema = _extended(docs, new).fields
     kept = [f.name for f in schema[: -len(new)] if f.name != text]
     schema = T.StructType([f for f in schema if f.name != text])
@@ -77,17 +79,17 @@ def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         letters, starts = np.frombuffer(b"".join(decimal), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in decimal])])
         for batch in batches:
             data, begin = bpe.column_bytes(batch.column(text))
-            count, first, second = [], [], []
             for a, b in bpe.slices(np.diff(begin)):
                 flat, at = coder.encode_bytes(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a])
-                count.append(np.diff(at))
                 said, sizes = bpe.gather(letters, starts, flat)
                 cut = np.concatenate([[0], np.cumsum(sizes)])[at].tolist()
                 said = memoryview(said)
-                first += [hashlib.sha256(said[x : max(x, y - 1)]).hexdigest() for x, y in zip(cut, cut[1:])]
-                second += [hashlib.sha256(t.encode()).hexdigest() for t in coder.decode(flat, at)]
-            numbers = np.concatenate(count) if count else np.empty(0, np.int64)
-            new = [pa.array(numbers, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new], [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+                first = [hashlib.sha256(said[x : max(x, y - 1)]).hexdigest() for x, y in zip(cut, cut[1:])]
+                second = [hashlib.sha256(t.encode()).hexdigest() for t in coder.decode(flat, at)]
+                columns = [pa.array(np.diff(at), pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *columns], [*kept, *new.fieldNames()])
 
     return docs.mapInArrow(run, schema)
