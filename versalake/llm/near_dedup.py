@@ -44,6 +44,8 @@ REGISTERS = BANDS * ROWS
 #: Ids up to this number are broadcast to pick out texts; beyond it they are joined by a shuffle.
 MOST_IDS = 1_000_000
 LEFT, ROUNDS = 4, 4
+#: Bytes of text that are hashed at a time: their processes and points are held at once, at some hundred bytes a word.
+SLICE = 1 << 19
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -132,7 +134,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts
         clock, step = np.zeros(len(live)), 0
         while len(live):
             # A few points at a time where processes are long, that is in short texts.
-            ahead = 1 if step < 4 else 16
+            ahead = 1 if step < 4 else 8
             count = np.arange(step + 1, step + 1 + ahead, dtype=np.uint64)
             h = _mix(seed[live][:, None] + count * _GOLDEN)
             gap = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width[live][:, None]
@@ -185,7 +187,7 @@ def keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, begin = bpe.column_bytes(batch.column(1))
-            for a, b in bpe.slices(np.diff(begin)):
+            for a, b in bpe.slices(np.diff(begin), SLICE):
                 owner, shingle, weight = bags(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a])
                 found = bands(signatures(owner, shingle, weight, b - a)).view(np.int64)
                 size = np.where(np.bincount(owner, minlength=b - a) > 0, BANDS, 0)
@@ -211,7 +213,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             one, two = bpe.column_bytes(batch.column(2)), bpe.column_bytes(batch.column(3))
             scores = []
-            for a, b in bpe.slices(np.diff(one[1]) + np.diff(two[1])):
+            for a, b in bpe.slices(np.diff(one[1]) + np.diff(two[1]), SLICE):
                 parts = [x for i in range(a, b) for x in (one[0][one[1][i] : one[1][i + 1]], two[0][two[1][i] : two[1][i + 1]])]
                 begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 scores.append(overlap(np.concatenate(parts), begin, b - a))
