@@ -24,7 +24,7 @@ import numpy as np
 #: The public pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks that are remembered in a worker; beyond it the memory starts afresh.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Pre-tokens of more bytes than this are merged exactly with a heap; greedy proposals are for ordinary words.
 LONG = 200
 
@@ -457,7 +457,7 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def slices(sizes: np.ndarray, most: int = 1 << 21):
+def slices(sizes: np.ndarray, most: int = 1 << 19):
     """Ranges of texts with about `most` bytes together, one text at least."""
     at, ends = 0, np.cumsum(sizes)
     while at < len(sizes):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from versalake.llm import bpe
-from versalake.llm.common import short_batches
+from versalake.llm.common import short_batches, trim
 
 
 def _extended(docs: DataFrame, new: T.StructType) -> T.StructType:
@@ -91,5 +91,6 @@ def digests(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *columns], [*kept, *new.fieldNames()])
+        trim()
 
     return docs.mapInArrow(run, schema)

@@ -69,6 +69,16 @@ def running_sum(df: DataFrame, groups: list[str], bucket: str, order: list[str],
     return joined.withColumn(out, F.col("_before") + F.sum(value).over(rows)).drop("_before")
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: Python workers outlive their tasks."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

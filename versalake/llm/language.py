@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from versalake.llm import bpe
-from versalake.llm.common import short_batches
+from versalake.llm.common import short_batches, trim
 
+#: Bytes of text that are scored at a time.
+SLICE = 1 << 18
 BUCKETS, DIM, PER_LANG, EPOCHS, RATE, SEED = 1 << 14, 16, 600, 12, 0.5, 7
 #: Share of calibration rows that the rejection threshold may cost, and the highest threshold.
 COST, HIGHEST = 0.001, 0.5
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
                 letter = np.zeros(len(letter), bool)
             langs, scores = np.full(len(letter), UND, object), np.zeros(len(letter))
             if model is not None:
-                parts = [model.score(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for a, b in bpe.slices(np.diff(begin), 1 << 20)]
+                parts = [model.score(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for a, b in bpe.slices(np.diff(begin), SLICE)]
                 if parts:
                     p = model.probabilities(np.concatenate(parts))
                     langs = np.where(letter, np.array(model.languages, object)[p.argmax(axis=1)], UND)
@@ -191,6 +193,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
             reject = ~letter | (scores < (model.threshold if model else 0.0))
             columns = [*(batch.column(c) for c in kept), pa.array(langs.tolist(), pa.string()), pa.array(scores, pa.float64()), pa.array(reject)]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score", "rejected"])
+        trim()
 
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *new]))
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versalake.llm import bpe
-from versalake.llm.common import short_batches, written
+from versalake.llm.common import short_batches, trim, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -195,6 +195,7 @@ def keys(docs: DataFrame) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), column], ["doc_id", "h1", "h2", "keys"])
+        trim()
 
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
 
@@ -218,6 +219,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 begin = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
                 scores.append(overlap(np.concatenate(parts), begin, b - a))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["a", "b", "s"])
+        trim()
 
     return written(met.mapInArrow(run, "a long, b long, s double"), "near-similar")
 
