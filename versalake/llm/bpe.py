@@ -118,7 +118,7 @@ class ByteBPE:
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self._power) < n:
-            size = max(n, 1 << 20)
+            size = max(n, 1 << 19)
             one = np.ones(size, np.uint64)
             one[1:] = _BASE
             self._power = np.cumprod(one, dtype=np.uint64)
@@ -127,18 +127,21 @@ class ByteBPE:
         return self._power[:n], self._unpower[:n]
 
     def _table(self) -> None:
-        tokens = [i for i in range(self.size) if self.rank[i] >= 0 or len(self.bytes[i]) == 1]
+        special = set(self.specials.values())
+        tokens = [i for i in range(self.size) if (self.rank[i] >= 0 or len(self.bytes[i]) == 1) and i not in special]
         if self.speculative:
-            tokens = [i for i in tokens if len(self.bytes[i]) == 1 or self.merge(self.bytes[i]) == [i]]
-        tokens = [i for i in tokens if i not in self.specials.values()]
-        hashes = []
-        for i in tokens:
-            h = 0
-            for at, b in enumerate(self.bytes[i]):
-                h += (b + 1) * int(pow(int(_BASE), at, 2**64))
-            hashes.append(h & (2**64 - 1))
-        self.lengths = sorted({len(self.bytes[i]) for i in tokens})
-        self._lookup = Table(np.array(hashes, np.uint64), np.array(tokens, np.int32))
+            # A token that its own bytes don't merge to is never proposed.
+            ids, count = self.merge_all([self.bytes[i] for i in tokens])
+            alone = np.array(tokens)[(count == 1) & (ids[np.cumsum(count) - count] == np.array(tokens))]
+            tokens = alone.tolist()
+        sizes = self.length[tokens]
+        self.lengths = np.unique(sizes).tolist()
+        data, _ = gather(self.blob, np.append(self.begin, len(self.blob)), np.array(tokens))
+        ends = np.cumsum(sizes)
+        place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+        terms = (data.astype(np.uint64) + np.uint64(1)) * self._powers(int(sizes.max()))[0][place]
+        hashes = np.add.reduceat(terms, ends - sizes)
+        self._lookup = Table(hashes, np.array(tokens, np.int32))
 
     # -- exact merging -----------------------------------------------------------------------------------
 
@@ -457,6 +460,14 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def release() -> None:
+    """Drops the encoder at a task's end: idle workers hold memory beside the executor's other stages."""
+    from versalake.llm.common import trim
+
+    load.cache_clear()
+    trim()
+
+
 def slices(sizes: np.ndarray, most: int = 1 << 19):
     """Ranges of texts with about `most` bytes together, one text at least."""
     at, ends = 0, np.cumsum(sizes)

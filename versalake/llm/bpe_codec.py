@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from versalake.llm import bpe
-from versalake.llm.common import short_batches, trim
+from versalake.llm.common import short_batches
 
 
 def _extended(docs: DataFrame, new: T.StructType) -> T.StructType:
@@ -41,6 +41,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", end
                 part = batch.slice(a, b - a)
                 column = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), column], [*kept, ids])
+        bpe.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -58,6 +59,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             texts = coder.decode(flat, np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string())], [*kept, text])
+        bpe.release()
 
     return tokens.mapInArrow(run, schema)
 
@@ -91,6 +93,6 @@ def digests(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), *columns], [*kept, *new.fieldNames()])
-        trim()
+        bpe.release()
 
     return docs.mapInArrow(run, schema)

@@ -129,6 +129,7 @@ def build(docs: DataFrame, path: str) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(h) for h in heaps], dtype=np.int64)]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(heaps) if heaps else np.empty(0, np.int64))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "spans", "counts"])
+        bpe.release()
 
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *TREE]))
 
@@ -141,7 +142,6 @@ def apply(trees: DataFrame, path: str) -> DataFrame:
     names = [*kept, "text", "spans", "counts", "n_encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe.load(path)
         for batch in batches:
             edits = batch.column("edits")
             touched = np.flatnonzero(edits.is_valid().to_numpy(zero_copy_only=False))
@@ -149,6 +149,7 @@ def apply(trees: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(np.zeros(batch.num_rows, np.int64))], names)
                 continue
             columns = {c: batch.column(c) for c in ("text", "spans", "counts")}
+            coder = bpe.load(path)
             done, encoded = {}, np.zeros(batch.num_rows, np.int64)
             for i in touched.tolist():
                 tree = Tree(coder, (columns["text"][i].as_py() or "").encode(), columns["spans"][i].as_py(), columns["counts"][i].as_py())
@@ -162,6 +163,7 @@ def apply(trees: DataFrame, path: str) -> DataFrame:
                 fresh = [t.text.decode() if c == "text" else getattr(t, c) for t in done.values()]
                 columns[c] = pa.concat_arrays([columns[c], pa.array(fresh, columns[c].type)]).take(pa.array(order))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns.values(), pa.array(encoded)], names)
+        bpe.release()
 
     schema = [*(trees.schema[c] for c in kept), T.StructField("text", T.StringType()), *TREE, T.StructField("n_encoded", T.LongType())]
     return trees.mapInArrow(run, T.StructType(schema))
