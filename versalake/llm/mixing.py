@@ -86,13 +86,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
 
 def apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of `docs`. Rows that agree in doc_id
-    and text are told apart by a number."""
+    and text are told apart by a number; texts are moved once."""
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    right = decisions.groupBy(who.alias("_rid"), F.col("text_hash").alias("_rhash")).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
+    right = right.where(F.col("_copies")[0] > 0)
+    left = docs.withColumns({"_id": who, "_hash": F.xxhash64("text")})
+    met = left.join(right.hint("shuffle_hash"), (F.col("_id") == F.col("_rid")) & (F.col("_hash") == F.col("_rhash")))
     same = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
-    left = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64("text")}).withColumn("_nth", F.row_number().over(same))
-    right = decisions.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies")
-    right = right.withColumn("_nth", F.row_number().over(same.orderBy(F.desc("copies")))).withColumnsRenamed({"_id": "_rid", "_hash": "_rhash", "_nth": "_rnth", "copies": "_copies"})
-    met = left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")) & (F.col("_nth") == F.col("_rnth")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    met = met.withColumn("_taken", F.get("_copies", F.row_number().over(same) - 1)).where("_taken > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken")))).select(*docs.columns)
 
 
 SQL = r"""
