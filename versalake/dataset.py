@@ -63,9 +63,9 @@ class Tensor:
 
     def __setitem__(self, item, value) -> None:
         """Updates cells; an index past the end appends empty samples up to it."""
-        if isinstance(item, int) and item >= len(self.ds):
+        if isinstance(item, int) and item >= self.ds._count():
             empty = {c.name: None for c in self.ds.columns()}
-            self.ds.extend([dict(empty) for _ in range(item - len(self.ds))] + [empty | {self.name: value}])
+            self.ds.extend([dict(empty) for _ in range(item - self.ds._count())] + [empty | {self.name: value}])
             return
         self.ds[item].update({self.name: value})
 
@@ -158,10 +158,19 @@ class Tensor:
         self.extend([value])
 
     def extend(self, values: Sequence) -> None:
-        names = [c.name for c in self.ds.columns()]
-        if names != [self.name]:
-            raise E.TypeMismatch("rows have several columns: append to the dataset, with append_empty if need be")
-        self.ds.extend([{self.name: v} for v in values])
+        """Appends to this column alone: first to rows that other columns already have, then in new rows. Whole rows
+        at once (the dataset's extend) are one file; this is for callers that fill columns one after another."""
+        values, ds = list(values), self.ds
+        total = ds._count()
+        start = ds.lengths()[self.name] if len(ds.columns()) > 1 and total else total
+        old = min(len(values), total - start)
+        if old:
+            ds[start : start + old].update({self.name: values[:old] if old > 1 else values[0]})
+        if len(values) > old:
+            ds.extend([{self.name: v} for v in values[old:]], append_empty=True)
+        if len(ds.columns()) > 1:
+            ds._state["ragged"] = len(set(ds.lengths().values())) > 1
+            ds._save()
 
     def clear(self) -> None:
         """Empties all cells."""
@@ -182,6 +191,7 @@ class Dataset:
         self.admin = False
         self._view: DataFrame | None = None
         self._names: list[str] | None = None
+        self._source: Dataset | None = None
         self.filtered_index_frame: DataFrame | None = None
         self.query_string: str | None = None
         self.indexes: dict[str, VectorIndex] = {}
@@ -198,7 +208,7 @@ class Dataset:
             self.log.set_branch(name, self.commit_id)
             self.branch = name
         if self._state is None:
-            self._state = {"base": self.commit_id, "columns": snap.stored(self._committed_columns()), "steps": [], "next": self._next_order(), "changes": {}}
+            self._state = {"base": self.commit_id, "columns": snap.stored(self._committed_columns()), "steps": [], "next": self._next_order(), "changes": {}, "ragged": self.log.get(self.commit_id).ragged}
         return self._state
 
     def _save(self) -> None:
@@ -269,6 +279,7 @@ class Dataset:
     def _as_view(self, df: DataFrame, names: list[str] | None = None) -> Dataset:
         out = copy.copy(self)
         out._view, out._names = df, names if names is not None else self._names
+        out._source = self._root()
         return out
 
     @property
@@ -291,13 +302,22 @@ class Dataset:
     def append_only(self) -> bool:
         return all(s["kind"] == "append" for s in self._steps())
 
-    def __len__(self) -> int:
+    def _count(self) -> int:
+        """Rows, however far single columns reach."""
         if self._view is None:
             steps = self._steps()
-            if all(s["kind"] != "pop" for s in steps):
+            if all(s["kind"] != "pop" for s in steps) and all("rows" in s for s in steps if s["kind"] == "append"):
                 return sum(s["rows"] for s in steps if s["kind"] == "append")
         return self.frame().count()
 
+    @property
+    def _ragged(self) -> bool:
+        return bool((self._state or {}).get("ragged", False) or self.log.get(self.commit_id).ragged)
+
+    def __len__(self) -> int:
+        """The length of the shortest column; it is the number of rows unless columns were filled one by one."""
+        return self.min_len if self._view is None and self._ragged else self._count()
+
     @property
     def num_samples(self) -> int:
         return len(self)
@@ -316,7 +336,7 @@ class Dataset:
 
     @property
     def max_len(self) -> int:
-        return len(self)
+        return self._count()
 
     @property
     def min_view(self) -> Dataset:
@@ -344,7 +364,7 @@ class Dataset:
             return self._projected(list(item))
         if isinstance(item, tuple):
             item = list(item)
-        kind, where = resolve(item, len(self))
+        kind, where = resolve(item, self._count())
         rows = self.frame()
         at = POS
         if self._view is not None:
@@ -357,9 +377,24 @@ class Dataset:
             out = take_list(rows.drop(LISTED), where, pos=at, order=LISTED)
         return self._as_view(out.drop("_at"))
 
+    def __getattr__(self, name: str):
+        if name.startswith("_") or "log" not in self.__dict__:
+            raise AttributeError(name)
+        try:
+            return self[name]
+        except E.UnknownColumn:
+            raise AttributeError(name) from None
+
+    def __setattr__(self, name: str, value) -> None:
+        if self.__dict__.get("_view") is not None and not name.startswith("_") and name in [c.name for c in self.columns()]:
+            self.update({name: value})
+        else:
+            object.__setattr__(self, name, value)
+
     def _projected(self, names: list[str]) -> Dataset:
         out = copy.copy(self)
         out._names = names
+        out._source = self._root()
         return out
 
     @staticmethod
@@ -400,6 +435,8 @@ class Dataset:
         key = name if name not in keys else f"{name}#{self.log.new_id()[:8]}"
         made = Column(name, htype, dtype, levels, info, sample_compression or chunk_compression, hidden, key)
         state["columns"].append(snap.stored([made])[0])
+        if not hidden and any(x["kind"] == "append" for x in self._steps()):
+            state["ragged"] = True
         self._note("created", name)
         self._save()
         return Tensor(self, name)
@@ -505,7 +542,8 @@ class Dataset:
         self.log.files.delete(raw)
 
     def create_tensor_from(self, column: Column) -> None:
-        self.create_tensor(column.name, column.htype, column.dtype, column.compression, levels=column.levels, **column.info)
+        if column.name not in [c.name for c in self._all_columns()]:
+            self.create_tensor(column.name, column.htype, column.dtype, column.compression, levels=column.levels, **column.info)
 
     def _new_path(self, kind: str) -> str:
         return f"{self.path}/data/{kind}-{self.log.new_id()}"
@@ -537,7 +575,7 @@ class Dataset:
         base = self._root()
         state = base._working()
         columns = {c.name: c for c in snap.columns_of(state["columns"])}
-        n = len(self)
+        n = self._count()
         changed, many = {}, False
         for name, value in sample.items():
             if name not in columns:
@@ -581,17 +619,12 @@ class Dataset:
         base._save()
 
     def _root(self) -> Dataset:
-        root = getattr(self, "_source", None)
-        if self._view is None and self._names is None:
-            return self
-        return root if root is not None else self._open_source()
-
-    def _open_source(self) -> Dataset:
-        raise E.ReadOnly("this view isn't tied to a dataset")
+        """The dataset that this handle is a view of."""
+        return self._source if self._source is not None else self
 
     def pop(self, index=None) -> None:
         """Removes rows by position: one, or a list without negatives or repetitions; by default the last."""
-        n = len(self)
+        n = self._count()
         wanted = [n - 1] if index is None else [index] if isinstance(index, int) else list(index)
         if len(set(wanted)) != len(wanted) or any(not isinstance(i, (int, np.integer)) or i < 0 for i in wanted):
             raise E.VersalakeError("positions to pop are distinct and not negative")
@@ -612,7 +645,7 @@ class Dataset:
         if self.has_head_changes:
             self.commit("before compaction")
         rows, columns = self.frame(), self._all_columns()
-        n = len(self)
+        n = self._count()
         path = self._new_path("base")
         out = rows.select(UUID, F.col(POS).alias(ORD), *(F.col(f"`{c.name}`").alias(c.key) for c in columns))
         out.repartitionByRange(max(1, -(-n // rows_per_file)), ORD).sortWithinPartitions(ORD).write.parquet(path)
@@ -655,9 +688,7 @@ class Dataset:
         return view
 
     def _tied(self, rows: DataFrame) -> Dataset:
-        view = self._as_view(rows)
-        view._source = self._root() if self.is_view and getattr(self, "_source", None) is not None else self
-        return view
+        return self._as_view(rows)
 
     def query(self, tensor_name: str, query) -> set[int]:
         """Positions that an index finds: all words of a text, or a value."""
@@ -706,7 +737,7 @@ class Dataset:
             since = self._steps_since(index.meta["commit"])
             if since is not None and all(s["kind"] == "append" for s in since):
                 if since:
-                    start = len(self) - sum(s["rows"] for s in since)
+                    start = self._count() - sum(s["rows"] for s in since)
                     index.append(rows.where(F.col(POS) >= start), self.commit_id)
                 return index
             analyser, shards = analyser or index.analyser, index.meta["shards"]
@@ -757,7 +788,7 @@ class Dataset:
         if since is None or any(s["kind"] != "append" for s in since):
             self.create_vector_index(tensor_name, index_name, meta.kind, meta.metric, True, **meta.params)
         elif since:
-            start = len(self) - sum(s["rows"] for s in since)
+            start = self._count() - sum(s["rows"] for s in since)
             index.add(self.frame().where(F.col(POS) >= start), self.commit_id)
         if (key := f"{tensor_name}/{index_name}") in self.indexes:
             self.indexes[key].unload()
@@ -796,7 +827,7 @@ class Dataset:
         if not self.has_head_changes and not allow_empty:
             raise E.EmptyCommit("nothing has changed")
         state = self._working()
-        made = Commit(self.log.new_id(), self.commit_id, self.branch, self.log.user, time.time(), message, state.get("merge_parent"), checkpoint, state["columns"], state["steps"], state["changes"])
+        made = Commit(self.log.new_id(), self.commit_id, self.branch, self.log.user, time.time(), message, state.get("merge_parent"), checkpoint, state["columns"], state["steps"], state["changes"], ragged=state.get("ragged", self.log.get(self.commit_id).ragged))
         self.log.put(made)
         self.log.set_branch(self.branch, made.id, self.commit_id)
         self.commit_id, self._state = made.id, None
@@ -813,8 +844,6 @@ class Dataset:
             if self.has_head_changes:
                 self.commit(f"auto commit before branching to {address}")
             self.log.set_branch(address, self.commit_id)
-        elif self.has_head_changes:
-            self._save()
         self.commit_id, self.branch = self._resolve(address)
         self._state = self.log.working(self.branch) if self.branch else None
         return self.commit_id
@@ -979,34 +1008,34 @@ class Dataset:
         base = self.at(self.log.merge_base(self.commit_id, theirs.commit_id))
         return base, theirs
 
-    def detect_merge_conflict(self, target_id: str, show_value: bool = False) -> tuple[list, dict]:
-        """(columns renamed differently, {column: changes of both sides}). Deleted positions are those of the common
-        ancestor, appended ones those of each side."""
+    def detect_merge_conflict(self, target_id: str, show_value: bool = False) -> tuple[dict, dict]:
+        """(columns that theirs renamed and ours renamed otherwise or dropped, {column: changes of both sides}). Deleted
+        positions are those of the common ancestor, appended and updated ones those of each side."""
         base, theirs = self._merge_sides(target_id)
         names = {c.key: c.name for c in self._all_columns()}
-        renames = []
         old, mine, other = ({c.key: c.name for c in d._all_columns()} for d in (base, self, theirs))
-        for key in old:
-            if key in mine and key in other and mine[key] != old[key] and other[key] != old[key] and mine[key] != other[key]:
-                renames.append((old[key], mine[key], other[key]))
+        renames: dict[str, dict] = {}
+        for key, was in old.items():
+            now, there = mine.get(key, "Deleted"), other.get(key, "Deleted")
+            if there not in (was, "Deleted") and now not in (was, there):
+                renames.setdefault("target", {})[was] = there
+                renames.setdefault("original", {})[was] = now
         b, o, t = base._by_key(), self._by_key(), theirs._by_key()
         keys = [k for k in old if k in mine and k in other]
-        plan = Plan(b, o, t, keys)
-        gone = lambda side: [r[0] for r in b.join(side.select(UUID), UUID, "left_anti").orderBy(POS).select(POS).collect()]
-        new = lambda side: [r[0] for r in side.join(b.select(UUID), UUID, "left_anti").orderBy(POS).select(POS).collect()]
-        rows = {"del_ori_idx": gone(o), "del_tar_idx": gone(t), "app_ori_idx": new(o), "app_tar_idx": new(t)}
+        plan = Plan(b, o, t, keys, self._new_path("delta"))
+        at = lambda df, ids: [r[0] for r in df.join(ids, UUID, "left_semi").orderBy(POS).select(POS).collect()]
+        rows = {"del_ori_idx": at(b, plan.gone_ours), "del_tar_idx": at(b, plan.gone_theirs), "app_ori_idx": at(o, plan.new_ours), "app_tar_idx": at(t, plan.new_theirs)}
         records = {}
         for i, k in enumerate(keys):
-            record = dict(rows)
-            both = plan.changed_ours.where(f"_c_{i}").select(UUID).join(plan.changed_theirs.where(f"_c_{i}").select(UUID), UUID)
+            record: dict = dict(rows)
+            mine_too, there = plan.changed("o", i), plan.changed("t", i)
             cell = F.col(f"`{k}`")
-            values = both.join(o.select(UUID, F.col(POS).alias("ori_idx"), cell.alias("ori_value")), UUID).join(t.select(UUID, F.col(POS).alias("tar_idx"), cell.alias("tar_value")), UUID)
-            record["update_values"] = [r.asDict() for r in values.orderBy("ori_idx").drop(UUID).collect()]
+            pick = lambda df, ids, c=cell: [{r[0]: r[1]} for r in df.join(ids, UUID, "left_semi").orderBy(POS).select(POS, c).collect()]
+            both = mine_too.join(there, UUID)
+            record["update_values"] = {"update_ori": pick(o, both), "update_tar": pick(t, both.union(plan.ids(plan.is_gone_ours & F.col(f"t_{i}"))))}
             if show_value:
-                for side, df, at in (("ori", o, rows["app_ori_idx"]), ("tar", t, rows["app_tar_idx"])):
-                    record[f"app_{side}_values"] = [r[0] for r in df.where(F.col(POS).isin(at)).orderBy(POS).select(cell).collect()]
-                for side in ("ori", "tar"):
-                    record[f"del_{side}_values"] = [r[0] for r in b.where(F.col(POS).isin(rows[f"del_{side}_idx"])).orderBy(POS).select(cell).collect()]
+                value = lambda df, ids, c=cell: [r[0] for r in df.join(ids, UUID, "left_semi").orderBy(POS).select(c).collect()]
+                record |= {"app_ori_values": value(o, plan.new_ours), "app_tar_values": value(t, plan.new_theirs), "del_ori_values": value(b, plan.gone_ours), "del_tar_values": value(b, plan.gone_theirs)}
             records[names[k]] = record
         return renames, records
 
@@ -1023,14 +1052,17 @@ class Dataset:
         if theirs.commit_id in self.log.ancestors(self.commit_id):
             return self.commit_id
         old, mine, other = ({c.key: c for c in d._all_columns()} for d in (base, self, theirs))
+        self._twins: list[tuple[str, str]] = []
         columns = self._merged_columns(old, mine, other, base, theirs, delete_removed_tensors, force)
         b, o, t = base._by_key(), self._by_key(), theirs._by_key()
-        plan = Plan(b, o, t, [k for k in old if k in mine and k in other])
+        for key, twin in self._twins:
+            t = t.withColumn(twin, F.col(f"`{key}`"))
+        plan = Plan(b, o, t, [k for k in old if k in mine and k in other], self._new_path("delta"))
         plan.check(append_resolution, pop_resolution, update_resolution)
         pops = plan.pops(append_resolution, pop_resolution, update_resolution)
         brought = plan.brought(append_resolution, pop_resolution, update_resolution)
         patch = plan.updates(update_resolution)
-        fresh = [c.key for c in columns if c.key not in mine and c.key in other]
+        fresh = [c.key for c in columns if c.key not in mine and c.key in t.columns]
         if fresh:
             cells = o.select(UUID).join(t.select(UUID, *(f"`{k}`" for k in fresh)), UUID)
             cells = cells.select(UUID, *(x for k in fresh for x in (F.lit(True).alias(f"_has_{k}"), F.col(f"`{k}`"))))
@@ -1040,20 +1072,21 @@ class Dataset:
         kinds = {c.key: c.spark_type() for c in columns}
         shared = [k for k in kinds if f"_has_{k}" in patch.columns]
         paths = {k: self._new_path(k) for k in ("pop", "update", "append")}
-        if shared:
+        n = plan.counts()
+        if shared and (fresh or n.patched):
             patch.select(UUID, *(x for k in shared for x in (F.col(f"`_has_{k}`"), F.col(f"`{k}`").cast(kinds[k])))).write.parquet(paths["update"])
-        pops.distinct().write.parquet(paths["pop"])
-        rows = number(brought, POS, "_new").select(UUID, (F.col("_new") + state["next"]).alias(ORD), *((F.col(f"`{k}`").cast(v) if k in brought.columns else F.lit(None).cast(v)).alias(k) for k, v in kinds.items()))
-        rows.write.parquet(paths["append"])
-        n = self.spark.read.parquet(paths["append"]).count()
-        if shared and self.spark.read.parquet(paths["update"]).limit(1).count():
             state["steps"].append({"kind": "update", "path": paths["update"], "keys": shared})
-        if self.spark.read.parquet(paths["pop"]).limit(1).count():
+        if n.gone or n.new_ours:
+            pops.write.parquet(paths["pop"])
             state["steps"].append({"kind": "pop", "path": paths["pop"]})
-        if n:
-            state["steps"].append({"kind": "append", "path": paths["append"], "rows": n, "first": state["next"]})
-            state["next"] += n
+        if n.new_theirs or n.gone:
+            rows = number(brought, POS, "_new").select(UUID, (F.col("_new") + state["next"]).alias(ORD), *((F.col(f"`{k}`").cast(v) if k in brought.columns else F.lit(None).cast(v)).alias(k) for k, v in kinds.items()))
+            rows.write.parquet(paths["append"])
+            count = self.spark.read.parquet(paths["append"]).count()
+            state["steps"].append({"kind": "append", "path": paths["append"], "rows": count, "first": state["next"]})
+            state["next"] += count
         state["merge_parent"] = theirs.commit_id
+        state["ragged"] = self._ragged or theirs._ragged
         return self.commit(f"Merge {target_id} into {self.branch}", allow_empty=True)
 
     def _merged_columns(self, old, mine, other, base: Dataset, theirs: Dataset, delete_removed: bool, force: bool) -> list[Column]:
@@ -1061,15 +1094,22 @@ class Dataset:
         for key, c in mine.items():
             if key in other:
                 x = other[key]
-                if (c.htype, c.spark_type(), c.compression) != (x.htype, x.spark_type(), x.compression) and c.known and x.known:
+                open_ = any(z.htype == "generic" and z.dtype is None for z in (c, x))
+                if not open_ and (c.htype, c.dtype, c.compression) != (x.htype, x.dtype, x.compression) or c.known and x.known and c.spark_type() != x.spark_type():
                     raise E.MergeMismatch(f"{c.name}: {c.htype} {c.dtype} and {x.htype} {x.dtype}")
                 made = copy.deepcopy(c if c.known else x)
                 made.name = c.name
                 was = old[key].name if key in old else c.name
                 if x.name != was and x.name != c.name:
-                    if c.name != was and not force:
-                        raise E.MergeConflict(f"{was} was renamed to {c.name} and to {x.name}")
-                    made.name = x.name if c.name == was else c.name
+                    if c.name != was:
+                        if not force:
+                            raise E.MergeConflict(f"{was} was renamed to {c.name} and to {x.name}")
+                        twin = copy.deepcopy(x)
+                        twin.key = f"{key}#{self.log.new_id()[:8]}"
+                        self._twins.append((key, twin.key))
+                        out.append(twin)
+                    else:
+                        made.name = x.name
                 if "class_names" in x.info:
                     names = made.info.setdefault("class_names", [])
                     names += [n for n in x.info["class_names"] if n not in names]

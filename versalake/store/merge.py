@@ -31,17 +31,6 @@ def _columns(base: DataFrame) -> list[str]:
     return [c for c in base.columns if not c.startswith("_")]
 
 
-def changed(base: DataFrame, side: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(_uuid, flag per column) of rows of both whose cells differ."""
-    met = base.select(UUID, *(F.col(f"`{c}`").alias(f"_b_{i}") for i, c in enumerate(columns))).join(side.select(UUID, *(F.col(f"`{c}`").alias(f"_s_{i}") for i, c in enumerate(columns))), UUID)
-    flags = [(~F.col(f"_b_{i}").eqNullSafe(F.col(f"_s_{i}"))).alias(f"_c_{i}") for i in range(len(columns))]
-    out = met.select(UUID, *flags)
-    any_ = F.lit(False)
-    for i in range(len(columns)):
-        any_ = any_ | F.col(f"_c_{i}")
-    return out.where(any_)
-
-
 def update_conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, column: str) -> DataFrame:
     """Rows whose cell both sides changed, with the three values."""
     pick = lambda df, name: df.select(UUID, F.col(f"`{column}`").alias(f"{column}_{name}"))
@@ -50,72 +39,118 @@ def update_conflicts(base: DataFrame, ours: DataFrame, theirs: DataFrame, column
     return met.where(~b.eqNullSafe(o) & ~b.eqNullSafe(t))
 
 
+def delta(base: DataFrame, ours: DataFrame, theirs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(_uuid, b, o, t, o_0, t_0, o_1, ...): which of the three sets have a row, and which of its cells each side
+    changed; rows that nobody touched are left out. One pass over the three sets, joined by `_uuid`."""
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(UUID, F.lit(True).alias(mark), *(F.col(f"`{c}`").alias(f"{mark}v_{i}") for i, c in enumerate(columns)))
+
+    met = side(base, "b").join(side(ours, "o"), UUID, "full_outer").join(side(theirs, "t"), UUID, "full_outer")
+    here = {m: F.coalesce(F.col(m), F.lit(False)) for m in "bot"}
+    flags = [(here["b"] & here[m] & ~F.col(f"bv_{i}").eqNullSafe(F.col(f"{m}v_{i}"))).alias(f"{m}_{i}") for i in range(len(columns)) for m in "ot"]
+    out = met.select(UUID, *(here[m].alias(m) for m in "bot"), *flags)
+    touched = ~(F.col("b") & F.col("o") & F.col("t"))
+    for i in range(len(columns)):
+        touched = touched | F.col(f"o_{i}") | F.col(f"t_{i}")
+    return out.where(touched)
+
+
 class Plan:
-    """The row sets of a merge. changed_ours and changed_theirs may be given by the caller (from a change log):
-    frames (_uuid, _c_0, _c_1, ...) of cells that a side touched, aligned with `columns`."""
+    """The row sets of a merge. scratch: a path where the differences are written once, so that what follows reads
+    them instead of joining the snapshots again."""
 
-    def __init__(self, base: DataFrame, ours: DataFrame, theirs: DataFrame, columns: Sequence[str] | None = None, changed_ours: DataFrame | None = None, changed_theirs: DataFrame | None = None):
+    def __init__(self, base: DataFrame, ours: DataFrame, theirs: DataFrame, columns: Sequence[str] | None = None, scratch: str | None = None):
         self.base, self.ours, self.theirs = base, ours, theirs
         self.columns = list(columns if columns is not None else [c for c in _columns(base) if c in ours.columns and c in theirs.columns])
-        ids = lambda df: df.select(UUID)
-        self.new_ours = ids(ours).join(ids(base), UUID, "left_anti")
-        self.new_theirs = ids(theirs).join(ids(base), UUID, "left_anti").join(ids(ours), UUID, "left_anti")
-        self.gone_ours = ids(base).join(ids(ours), UUID, "left_anti").join(ids(theirs), UUID, "left_semi")
-        self.gone_theirs = ids(base).join(ids(theirs), UUID, "left_anti").join(ids(ours), UUID, "left_semi")
-        self.changed_ours = changed_ours if changed_ours is not None else changed(base, ours, self.columns)
-        self.changed_theirs = changed_theirs if changed_theirs is not None else changed(base, theirs, self.columns)
-        flags = [f"_c_{i}" for i in range(len(self.columns))]
-        both = self.changed_theirs.join(self.changed_ours.select(UUID, *(F.col(f).alias(f"_o{f}") for f in flags)), UUID)
-        clash = F.lit(False)
-        for f in flags:
-            clash = clash | (F.col(f) & F.col(f"_o{f}"))
-        self.updated_both = both.where(clash).select(UUID)
-        self.updated_popped = ids(self.changed_theirs).join(self.gone_ours, UUID, "left_semi")
+        self.delta = delta(base, ours, theirs, self.columns)
+        if scratch is not None:
+            self.delta.write.parquet(scratch)
+            self.delta = base.sparkSession.read.parquet(scratch)
+        n = range(len(self.columns))
+        some = lambda conditions: _any(conditions)
+        b, o, t = (F.col(m) for m in "bot")
+        self.is_new_ours, self.is_new_theirs = ~b & o, ~b & t & ~o
+        self.is_gone_ours, self.is_gone_theirs = b & ~o & t, b & o & ~t
+        self.is_changed_ours = some(F.col(f"o_{i}") for i in n)
+        self.is_changed_theirs = some(F.col(f"t_{i}") for i in n)
+        self.is_updated_both = some(F.col(f"o_{i}") & F.col(f"t_{i}") for i in n)
+        self.is_updated_popped = self.is_gone_ours & self.is_changed_theirs
+        self._counts = None
+
+    def ids(self, condition) -> DataFrame:
+        return self.delta.where(condition).select(UUID)
+
+    @property
+    def new_ours(self) -> DataFrame:
+        return self.ids(self.is_new_ours)
+
+    @property
+    def new_theirs(self) -> DataFrame:
+        return self.ids(self.is_new_theirs)
+
+    @property
+    def gone_ours(self) -> DataFrame:
+        return self.ids(self.is_gone_ours)
+
+    @property
+    def gone_theirs(self) -> DataFrame:
+        return self.ids(self.is_gone_theirs)
+
+    def changed(self, side: str, i: int) -> DataFrame:
+        """Rows whose i-th column a side ("o" or "t") changed."""
+        return self.ids(F.col(f"{side}_{i}"))
+
+    def counts(self):
+        """How many rows there are of each kind: one aggregation."""
+        if self._counts is None:
+            kinds = {"new_ours": self.is_new_ours, "new_theirs": self.is_new_theirs, "gone": self.is_gone_ours | self.is_gone_theirs, "updated": self.is_updated_both | self.is_updated_popped, "patched": self.is_changed_theirs & F.col("o")}
+            self._counts = self.delta.agg(*(F.count_if(c).alias(k) for k, c in kinds.items())).first()
+        return self._counts
 
     def check(self, append: str | None, pop: str | None, update: str | None) -> None:
         _check("append", append, ("ours", "theirs", "both"))
         _check("pop", pop, ("ours", "theirs", "both"))
         _check("update", update, ("ours", "theirs"))
-        some = lambda df: df.limit(1).count() > 0
-        if append is None and some(self.new_ours) and some(self.new_theirs):
+        n = self.counts()
+        if append is None and n.new_ours and n.new_theirs:
             raise MergeConflict("both sides appended rows: an append resolution is needed")
-        if pop is None and (some(self.gone_ours) or some(self.gone_theirs)):
+        if pop is None and n.gone:
             raise MergeConflict("rows were popped on one side: a pop resolution is needed")
-        if update is None and (some(self.updated_both) or some(self.updated_popped)):
+        if update is None and n.updated:
             raise MergeConflict("both sides updated rows: an update resolution is needed")
 
     def pops(self, append: str | None, pop: str | None, update: str | None) -> DataFrame:
         """Ids of ours' rows that go. Rows that theirs popped go even where ours updated them."""
-        out = self.gone_theirs if pop in ("both", "theirs") else self.gone_theirs.where(F.lit(False))
-        if append == "theirs":
+        goes = self.is_gone_theirs if pop in ("both", "theirs") else F.lit(False)
+        if append == "theirs" and self.counts().new_theirs:
             # Only where both sides appended do ours' additions go.
-            out = out.union(self.new_ours if self.new_theirs.limit(1).count() else self.new_ours.where(F.lit(False)))
-        return out
+            goes = goes | self.is_new_ours
+        return self.ids(goes)
 
     def brought(self, append: str | None, pop: str | None, update: str | None) -> DataFrame:
         """Rows of theirs that ours gets, in full."""
-        wanted = self.new_theirs
-        if append == "ours" and self.new_ours.limit(1).count():
-            wanted = wanted.where(F.lit(False))
+        comes = F.lit(False) if append == "ours" and self.counts().new_ours else self.is_new_theirs
         if pop == "theirs":
-            wanted = wanted.union(self.gone_ours)
+            comes = comes | self.is_gone_ours
         if update == "theirs":
-            wanted = wanted.union(self.updated_popped)
-        return self.theirs.join(wanted.distinct(), UUID, "left_semi")
+            comes = comes | self.is_updated_popped
+        return self.theirs.join(self.ids(comes), UUID, "left_semi")
 
     def updates(self, update: str | None) -> DataFrame:
         """(_uuid, _has_<column>, <column>...) of cells of ours that get theirs' values."""
-        flags = [f"_c_{i}" for i in range(len(self.columns))]
-        mine = self.changed_ours.select(UUID, *(F.col(f).alias(f"_o{f}") for f in flags))
-        met = self.changed_theirs.join(self.ours.select(UUID), UUID, "left_semi").join(mine, UUID, "left")
+        takes = [F.col(f"t_{i}") if update == "theirs" else F.col(f"t_{i}") & ~F.col(f"o_{i}") for i in range(len(self.columns))]
+        wanted = self.delta.where(F.col("o") & _any(takes)).select(UUID, *(c.alias(f"_take_{i}") for i, c in enumerate(takes)))
         values = self.theirs.select(UUID, *(F.col(f"`{c}`").alias(f"_v_{i}") for i, c in enumerate(self.columns)))
-        met = met.join(values, UUID)
-        out, any_ = [], F.lit(False)
-        for i, c in enumerate(self.columns):
-            take = F.col(f"_c_{i}") if update == "theirs" else F.col(f"_c_{i}") & ~F.coalesce(F.col(f"_o_c_{i}"), F.lit(False))
-            any_ = any_ | take
-            out += [take.alias(f"_has_{c}"), F.when(take, F.col(f"_v_{i}")).alias(c)]
-        return met.where(any_).select(UUID, *out)
+        met = wanted.join(values, UUID)
+        return met.select(UUID, *(x for i, c in enumerate(self.columns) for x in (F.col(f"_take_{i}").alias(f"_has_{c}"), F.when(F.col(f"_take_{i}"), F.col(f"_v_{i}")).alias(c))))
+
+
+def _any(conditions):
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def merge_frames(base: DataFrame, ours: DataFrame, theirs: DataFrame, append: str | None = None, pop: str | None = None, update: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:

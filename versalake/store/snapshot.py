@@ -33,7 +33,7 @@ def steps_of(log: Log, commit_id: str) -> list[dict]:
     for commit in log.chain(commit_id):
         out = commit.steps + out
         if commit.base:
-            return [{"kind": "append", "path": commit.base}] + out
+            return [{"kind": "append", "path": commit.base, "rows": commit.changes["base_rows"], "first": 0}] + out
     return out
 
 

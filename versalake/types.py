@@ -18,6 +18,7 @@ DTYPES = {
     "float16": T.FloatType(), "float32": T.FloatType(), "float64": T.DoubleType(), "str": T.StringType(),
     "bytes": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType(),
 }
+ALIASES = {"int": "int64", "long": "int64", "float": "float64", "double": "float64", "str_": "str", "string": "str", "boolean": "bool", "bool_": "bool"}
 BOUNDS = {"uint8": (0, 2**8 - 1), "uint16": (0, 2**16 - 1), "uint32": (0, 2**32 - 1), "uint64": (0, 2**64 - 1)}
 
 
@@ -90,7 +91,7 @@ class Column:
         if self.htype not in KINDS:
             raise TypeMismatch(f"unknown htype {self.htype!r}")
         kind = KINDS[self.htype]
-        self.dtype = self.dtype or kind.dtype
+        self.dtype = ALIASES.get(self.dtype, self.dtype) or kind.dtype
         self.levels = kind.levels if self.levels is None else self.levels
         if kind.fixed_dtype and self.dtype != kind.dtype:
             raise TypeMismatch(f"{self.htype} must have dtype {kind.dtype}, not {self.dtype}")
