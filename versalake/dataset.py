@@ -1142,18 +1142,20 @@ class Dataset:
             raise E.UncommittedChanges("commit before saving a view")
         view_id = view_id or self.view_hash()
         at = f"{self.path}/views/{view_id}"
-        if self.log.files.exists(f"{at}/meta.json"):
-            self.log.files.delete(at)
+        old = self.get_view(view_id)["rows"] if self.log.files.exists(f"{at}/meta.json") else None
+        place = f"{at}/rows-{self.log.new_id()[:12]}"
         rows = self.frame()
         if tensors:
             rows = rows.select(*self._keys(rows), *(f"`{t}`" for t in tensors))
         order = LISTED if LISTED in rows.columns else POS
         rows = rows.withColumn("_order", F.col(order))
         out = rows.drop(LISTED) if optimize else rows.select("_order", POS)
-        out.write.parquet(f"{at}/rows")
+        out.write.parquet(place)
         names = list(tensors) if tensors else self._names
-        meta = {"id": view_id, "message": message, "commit": self.commit_id, "optimized": optimize, "query": self.query_string, "columns": names, "time": time.time()}
+        meta = {"id": view_id, "message": message, "commit": self.commit_id, "optimized": optimize, "query": self.query_string, "columns": names, "time": time.time(), "rows": place}
         self.log.files.write(f"{at}/meta.json", json.dumps(meta))
+        if old:  # only now: the view may have been saved from its own rows
+            self.log.files.delete(old)
         return view_id
 
     def view_hash(self) -> str:
@@ -1167,7 +1169,7 @@ class Dataset:
         if optimize and not meta["optimized"]:
             self.at(meta["commit"]).load_view(view_id).save_view(meta["message"], view_id=view_id, optimize=True)
             meta = self.get_view(view_id)
-        rows = self.spark.read.parquet(f"{self.path}/views/{view_id}/rows")
+        rows = self.spark.read.parquet(meta["rows"])
         source = self.at(meta["commit"])
         names = list(tensors) if tensors else meta["columns"]
         if meta["optimized"]:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,9 +91,7 @@ class VectorIndex:
         centres, column = np.array(self.meta.centres), self.meta.column
 
         @F.pandas_udf("int")
-        def nearest(rows):
-            import pandas as pd
-
+        def nearest(rows: pd.Series) -> pd.Series:
             x = np.stack(rows.to_numpy()).astype(np.float64)
             return pd.Series(knn.distances(x, centres, "l2").argmin(axis=1))
 

@@ -59,7 +59,7 @@ class ArrowView:
     def take(self, positions: Sequence[int]):
         from versalake.operators.positions import take_list
 
-        return self._out(take_list(self.rows, positions).orderBy("_ord")).toArrow()
+        return self._out(take_list(self.rows.drop("_listed"), positions, order="_listed").orderBy("_listed")).toArrow()
 
     def count_rows(self) -> int:
         return self.rows.count()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,8 +82,6 @@ def read_csv(spark: SparkSession, path: str, schema: dict | None = None, path_co
 
 def load_paths(df: DataFrame, column: str, how: str = "read") -> DataFrame:
     """Replaces file paths by the files' content, read where the task runs."""
-    import pandas as pd
-
     kind = {"read": "binary", "text": "string", "json": "string"}[how]
 
     @F.pandas_udf(kind)
