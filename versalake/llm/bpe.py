@@ -24,7 +24,7 @@ import numpy as np
 #: The public pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct chunks that are remembered in a worker; beyond it the memory starts afresh.
-MEMO = 600_000
+MEMO = 1_000_000
 #: Pre-tokens of more bytes than this are merged exactly with a heap; greedy proposals are for ordinary words.
 LONG = 200
 
@@ -315,6 +315,7 @@ class ByteBPE:
         self._late = (np.empty(0, np.uint64), np.empty(0, np.int64))
         self._ids: np.ndarray = np.empty(0, np.int32)
         self._at = np.zeros(1, np.int64)
+        self._chunk_count = 0
 
     def _recall(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each chunk, -1 if it isn't known."""
@@ -333,42 +334,45 @@ class ByteBPE:
             return [x for p in parts for x in p]
         return self.split(chunk)
 
-    def _learn(self, chunks: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks and how many each has. plain: chunks without white space but a leading space; those
-        are cut all at once, kept apart by line ends."""
-        cut: list[list] = [[]] * len(chunks)
-        simple = [i for i in np.flatnonzero(plain) if b"<|" not in chunks[i]] if self.specials else np.flatnonzero(plain).tolist()
-        rest = np.ones(len(chunks), bool)
-        rest[simple] = False
-        stream = self.split(b"\n".join([chunks[i] for i in simple]).decode())
-        odd = {int(i): self._cut(chunks[i].decode()) for i in np.flatnonzero(rest)}
-        new = {w: i for i, w in enumerate(dict.fromkeys(stream))}
+    def _learn(self, chunks: list[bytes], plain: np.ndarray, special: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks and how many each has. plain: chunks without white space but for a leading space or line
+        end; those are cut all at once, kept apart by line ends. special: there may be special tokens."""
+        if special:
+            plain = plain & ~np.fromiter((b"<" in c for c in chunks), bool, len(chunks))
+        simple = np.flatnonzero(plain)
+        stream = self.split(b"\n".join([c[1:] if c[0] == 10 else c for c in (chunks[i] for i in simple.tolist())]).decode())
+        odd = {i: self._cut(chunks[i].decode()) for i in np.flatnonzero(~plain).tolist()}
+        new = {w: i for i, w in enumerate(dict.fromkeys(["\n", *stream]))}
         for x in odd.values():
             for w in x:
-                if not isinstance(w, int):
-                    new.setdefault(w, len(new))
+                if w.__class__ is str and w not in new:
+                    new[w] = len(new)
         ids, begin = self.encode_words([w.encode() for w in new])
         # Special ids stand after the ids of the words.
         specials = list(self.specials.values())
         begin = np.append(begin, begin[-1] + np.arange(1, len(specials) + 1))
         ids = np.append(ids, np.array(specials, np.int32))
         flat = np.fromiter(map(new.__getitem__, stream), np.int64, len(stream))
-        apart = flat == new.get("\n", -1)
-        chunk_of = np.asarray(simple, np.int64)[np.cumsum(apart)[~apart]] if len(simple) else np.empty(0, np.int64)
-        words = [flat[~apart]] + [np.array([len(new) + specials.index(w) if isinstance(w, int) else new[w] for w in x], np.int64) for x in odd.values()]
-        owner = np.concatenate([chunk_of, *(np.full(len(x), i) for i, x in odd.items())]).astype(np.int64)
+        apart = flat == new["\n"]
+        chunk_of = simple[np.cumsum(apart)[~apart]] if len(simple) else np.empty(0, np.int64)
+        led = np.fromiter((chunks[i][0] == 10 for i in simple.tolist()), bool, len(simple))
+        led = simple[led]
+        rest = np.array([new[w] if w.__class__ is str else len(new) + specials.index(w) for x in odd.values() for w in x], np.int64)
+        words = np.concatenate([np.full(len(led), new["\n"]), flat[~apart], rest])
+        sizes = np.fromiter(map(len, odd.values()), np.int64, len(odd))
+        owner = np.concatenate([led, chunk_of, np.repeat(np.fromiter(odd, np.int64, len(odd)), sizes)]).astype(np.int64)
         order = np.argsort(owner, kind="stable")
-        out, sizes = gather(ids, begin, np.concatenate(words)[order])
-        return out, np.bincount(owner[order], weights=sizes, minlength=len(chunks)).astype(np.int64)
+        out, counts = gather(ids, begin, words[order])
+        return out, np.bincount(owner[order], weights=counts, minlength=len(chunks)).astype(np.int64)
 
     def _chunks(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each chunk of the texts starts, and its number in the memory. A chunk starts at the text's start and
-        at each space after something else than white space, where a pre-token always starts whatever else the text
-        holds. Chunks repeat, so each distinct one is encoded once."""
+        at each space or line end after something else than white space, where a pre-token always starts whatever
+        else the text holds. Chunks repeat, so each distinct one is encoded once."""
         if len(self._main[0]) > MEMO:
             self._forget()
         blank = _blank(data)
-        start = (data == 32) & ~np.concatenate([[False], blank[:-1]])
+        start = ((data == 32) | (data == 10)) & ~np.concatenate([[False], blank[:-1]])
         heads = begin[:-1][begin[:-1] < begin[1:]]
         start[heads] = True
         p = np.flatnonzero(start)
@@ -385,13 +389,15 @@ class ByteBPE:
         if len(new):
             a, b = p[first[new]], q[first[new]]
             blanks = np.concatenate([[0], np.cumsum(blank)])
-            plain = blanks[b] - blanks[np.minimum(a + (data[a] == 32), b)] == 0
-            plain &= b - a > (data[a] == 32)
+            lead = ((data[a] == 32) | (data[a] == 10)).astype(np.int64)
+            plain = (blanks[b] - blanks[np.minimum(a + lead, b)] == 0) & (b - a > lead)
             raw = data.tobytes()
-            ids, count = self._learn([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], plain)
-            base = len(self._at) - 1
-            self._at = np.append(self._at, self._at[-1] + np.cumsum(count))
-            self._ids = np.append(self._ids, ids)
+            special = any(s.encode() in raw for s in self.specials)
+            ids, count = self._learn([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], plain, special)
+            base = self._chunk_count
+            self._at = _put(self._at, base + 1, self._at[base] + np.cumsum(count))
+            self._ids = _put(self._ids, int(self._at[base]), ids)
+            self._chunk_count += len(new)
             number[new] = base + np.arange(len(new))
             keys, numbers = (np.append(x, y) for x, y in zip(self._late, (distinct[new], number[new])))
             if len(keys) * 8 > len(self._main[0]):
@@ -437,6 +443,17 @@ class ByteBPE:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
+def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+    """Writes `new` at position `at` of a buffer, which grows by a half if need be."""
+    end = at + len(new)
+    if end > len(held):
+        wider = np.zeros(max(end, len(held) * 3 // 2), held.dtype)
+        wider[:at] = held[:at]
+        held = wider
+    held[at:end] = new
+    return held
+
+
 def gather(values: np.ndarray, begin: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenates values[begin[i]:begin[i + 1]] for i in index; also gives their sizes."""
     index = np.asarray(index)

@@ -1,7 +1,7 @@
 """Token counts that survive edits (operator 1): a segment tree of pre-tokens for every document.
 
 *Tree.* A document's text is cut into leaves of `LEAF` chunks, a chunk being a few whole pre-tokens that start at a
-space after something else than white space (or at the text's start). The tree holds, for every node, the bytes and
+space or line end after something else than white space (or at the text's start). The tree holds, for every node, the bytes and
 the tokens below it, in heap order: `spans` and `counts`, two arrays of twice the number of leaves (a power of two);
 counts[1] is the document's number of tokens.
 
