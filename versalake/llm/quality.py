@@ -21,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versalake.llm.common import BLANKS, WORD, written
+from versalake.llm.common import BLANKS, written
 
 BUCKETS, SMOOTH, MOST_IDS = 1 << 16, 1.0, 1_000_000
 MIN_WORDS, REPEATED, WINDOW = 10, 20, 5
 #: Lowest mean log-likelihood ratio that is kept, in nats a feature.
 THRESHOLD = -0.5
+#: What `WORD` leaves between words.
+BLANK_RUN = r"[\x20\x09-\x0D]+"
 TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 
 
@@ -35,18 +37,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def buckets(tokens: Column) -> Column:
-    """The features' buckets: of every token, and of every token with the next one."""
-    one = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    two = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, F.coalesce(b, F.lit(" "))), F.lit(BUCKETS)).cast("int"))
-    return F.concat(one, two)
+def adjacent(docs: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
+    """(kept columns, one, two), a row per token: the buckets of the token and of its pair with the next one. Tokens
+    are laid out before they are hashed, so hashing is compiled code over rows."""
+    cut = docs.select(*keep, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0).alias("_tokens"))
+    kept = [c for c in cut.columns if c != "_tokens"]
+    next_ = F.slice("_tokens", 2, F.greatest(F.size("_tokens"), F.lit(1)))
+    rows = cut.select(*kept, F.explode(F.arrays_zip(F.col("_tokens").alias("a"), next_.alias("b"))).alias("_pair"))
+    bucket = lambda h: h.bitwiseAND(BUCKETS - 1).cast("int")
+    return rows.select(*kept, bucket(F.xxhash64("_pair.a")).alias("one"), bucket(F.xxhash64("_pair.a", F.coalesce("_pair.b", F.lit(" ")))).alias("two"))
 
 
 def features(docs: DataFrame, *keep: Column, text: str = "text") -> DataFrame:
     """(kept columns, bucket), a row per feature."""
-    cut = docs.select(*keep, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0).alias("_tokens"))
-    kept = [c for c in cut.columns if c != "_tokens"]
-    return cut.select(*kept, F.explode(buckets(F.col("_tokens"))).alias("bucket"))
+    rows = adjacent(docs, *keep, text=text)
+    return rows.select(*(c for c in rows.columns if c not in ("one", "two")), F.explode(F.array("one", "two")).alias("bucket"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -83,7 +88,7 @@ def repeated(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(F.sort_array(pairs), neighbours))
 
     def of(codes: Column) -> Column:
-        return let(F.transform(F.sequence(F.lit(1), F.size(codes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(codes, i, WINDOW))), windows)
+        return let(F.transform(F.sequence(F.lit(0), F.size(codes) - WINDOW), lambda i: F.xxhash64(*(F.get(codes, i + j) for j in range(WINDOW)))), windows)
 
     return F.when(F.size(words) > WINDOW, let(F.transform(words, lambda w: F.xxhash64(w)), of)).otherwise(F.lit(0)).cast("long")
 
@@ -91,7 +96,7 @@ def repeated(words: Column) -> Column:
 def base(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """(kept columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     said = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(*keep, said.alias("_text"), F.regexp_extract_all(said, F.lit(WORD), 0).alias("_words"))
+    cut = docs.select(*keep, said.alias("_text"), F.array_remove(F.split(said, BLANK_RUN), "").alias("_words"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     got = cut.select(
         *keep,
@@ -107,8 +112,11 @@ def base(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 def scores(docs: DataFrame, ratios: DataFrame, text: str = "text") -> DataFrame:
     """(h1, h2, score): the mean ratio in nats of every distinct text with a feature."""
     keys = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
-    met = features(docs, *keys, text=text).join(F.broadcast(ratios), "bucket", "left")
-    sums = met.groupBy("h1", "h2").agg(F.sum(F.coalesce("ratio", F.lit(0))).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    rows, names = adjacent(docs, *keys, text=text), ("one", "two")
+    for n in names:
+        rows = rows.join(F.broadcast(ratios.select(F.col("bucket").alias(n), F.col("ratio").alias(f"r_{n}"))), n, "left")
+    total = sum((F.coalesce(f"r_{n}", F.lit(0)) for n in names), F.lit(0))
+    sums = rows.groupBy("h1", "h2").agg(F.sum(total).alias("_sum"), (2 * F.count(F.lit(1))).alias("_n"))
     return sums.select("h1", "h2", (F.col("_sum") / F.col("_n") / F.lit(1e6)).alias("score"))
 
 
