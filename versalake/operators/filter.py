@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from versalake.errors import InvalidCondition, UnknownColumn
 from versalake.functions.text import Analyser
 from versalake.operators.positions import POS
+from versalake.session import ship
 
 COMPARISONS = (">", ">=", "<", "<=", "==", "!=")
 OPERATORS = (*COMPARISONS, "LIKE", "BETWEEN", "CONTAINS")
@@ -177,6 +178,7 @@ def filter_rows(df: DataFrame, condition, offset: int = 0, limit: int | None = N
 def row_udf(function, df: DataFrame) -> Column:
     """A predicate on row dicts, a batch at a time. Function attribute `columns` names the columns that it reads; by
     default it gets all visible ones."""
+    ship(df.sparkSession)
     names = list(getattr(function, "columns", None) or [c for c in df.columns if not c.startswith("_")])
 
     @F.pandas_udf("boolean")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from versalake.errors import IndexExists, IndexMissing
 from versalake.functions.vectors import METRICS
 from versalake.operators import knn
+from versalake.session import ship
 from versalake.store.files import Files
 
 KINDS = {"FLAT": {}, "IVFPQ": {"nlist": 128, "nprobe": 8}, "IVFFLAT": {"nlist": 128, "nprobe": 8}, "HNSWFLAT": {"nlist": 128, "nprobe": 16}, "DISKANN": {"nlist": 128, "nprobe": 16}}
@@ -88,6 +89,7 @@ class VectorIndex:
     def _cell(self, vectors: DataFrame) -> DataFrame:
         if not self.meta.centres:
             return vectors.withColumn("_cell", F.lit(0))
+        ship(self.spark)
         centres, column = np.array(self.meta.centres), self.meta.column
 
         @F.pandas_udf("int")

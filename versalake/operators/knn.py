@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from versalake.errors import TooLarge
 from versalake.functions.vectors import METRICS, ascending, measure
+from versalake.session import ship
 
 #: Bytes of query vectors that are sent to every task; more queries are a table of their own (`knn_blocks`).
 MOST_QUERY_BYTES = 64 << 20
@@ -78,6 +79,7 @@ def knn(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: i
     asked = np.array([list(v) for _, v in queries], np.float64).reshape(len(numbers), -1)
     if asked.nbytes > MOST_QUERY_BYTES:
         raise TooLarge(f"{asked.nbytes} bytes of queries; put them in a table and use knn_blocks")
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_).cast("long").alias(id_), F.col(vector).cast("array<double>").alias("v"))
     rows = rows.where(F.col("v").isNotNull() & (F.size("v") == asked.shape[1]) & F.forall("v", lambda x: x.isNotNull()))
 

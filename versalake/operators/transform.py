@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from versalake.errors import TransformError
+from versalake.session import ship
 
 
 class SampleOut:
@@ -46,6 +47,7 @@ class Step:
     def frame(self, df: DataFrame, schema=None, skip_ok: bool = False, ignore_errors: bool = False) -> DataFrame:
         """The transformed rows. schema: of the output; by default the step's own, or the input's. skip_ok: columns
         that a sample leaves out become null; ignore_errors: samples whose function fails are left out."""
+        ship(df.sparkSession)
         schema = schema or self.schema or df.schema
         if isinstance(schema, str):
             schema = T._parse_datatype_string(schema)

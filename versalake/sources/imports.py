@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from versalake.session import ship
 from versalake.types import DTYPES, KINDS, Column
 
 
@@ -82,6 +83,7 @@ def read_csv(spark: SparkSession, path: str, schema: dict | None = None, path_co
 
 def load_paths(df: DataFrame, column: str, how: str = "read") -> DataFrame:
     """Replaces file paths by the files' content, read where the task runs."""
+    ship(df.sparkSession)
     kind = {"read": "binary", "text": "string", "json": "string"}[how]
 
     @F.pandas_udf(kind)
