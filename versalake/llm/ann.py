@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versalake.llm.common import partitions, written
+from versalake.session import ship
 
 SAMPLE, TREES, LEAF, DEPTH, RECALL = 1 << 14, 4, 200, 10, 0.95
 BLOCK, QUERIES, SEED = 8192, 2048, 11
@@ -170,6 +171,7 @@ def _matrix(column) -> np.ndarray:
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row that `is_query` (a condition on `id`)."""
     spark = vectors.sparkSession
+    ship(spark)
     out = f"query_id long, rank int, {id_} long, score double"
     rows = valid(vectors, id_, vector)
     stat = rows.agg(F.count(F.lit(1)).alias("n"), F.max("n2").alias("n2")).first()

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from versalake.session import ship
+
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The white space of `WORD`, for trimming.
@@ -42,8 +44,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches short, so that very long documents don't fill a Python worker."""
+    """Before Python work: keeps Arrow batches short, so that very long documents don't fill a worker, and lets
+    workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    ship(spark)
 
 
 def partitions(spark: SparkSession) -> int:

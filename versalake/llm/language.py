@@ -33,7 +33,7 @@ from versalake.llm.common import short_batches, trim
 SLICE = 1 << 18
 BUCKETS, DIM, PER_LANG, EPOCHS, RATE, SEED = 1 << 14, 16, 600, 12, 0.5, 7
 #: Share of calibration rows that the rejection threshold may cost, and the highest threshold.
-COST, HIGHEST = 0.001, 0.5
+COST, HIGHEST = 0.001, 0.35
 UND = "und"
 
 _FOLD = np.arange(256, dtype=np.uint32)

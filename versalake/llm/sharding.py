@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versalake.llm.common import partitions, running_sum, written
+from versalake.llm.common import partitions, running_sum, short_batches, written
 
 BLOCKS, CHUNK = 4096, 4096
 
@@ -78,6 +78,7 @@ def assign(sizes: list[int], k: int) -> list[int]:
 def shard(docs: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
     """The place of every document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null)."""
     spark = docs.sparkSession
+    short_batches(spark)
     raw = F.col(text).cast("binary")
     rows = docs.select(
         "doc_id",
