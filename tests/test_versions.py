@@ -52,7 +52,7 @@ def test_commit_checkout_reset(ds):
     with pytest.raises(E.CheckoutError):
         ds.checkout("nothing")
     assert len(v.load(f"{ds.path}@dev", spark=ds.spark)) == 6
-    assert ds.commits_frame().count() == 3
+    assert ds.commits_frame().count() == 3 and "Message: two" in ds.log()
 
 
 def test_work_survives_the_handle(ds):

@@ -188,6 +188,7 @@ class Dataset:
     def __init__(self, path: str, spark: SparkSession | None = None, read_only: bool = False, user: str | None = None, address: str | None = None):
         self.spark, self.path, self.read_only = _session(spark), path.rstrip("/"), read_only
         self.log = Log(self.spark, self.path, user)
+        self.log.text = self.log_text
         self.admin = False
         self._view: DataFrame | None = None
         self._names: list[str] | None = None
@@ -198,6 +199,12 @@ class Dataset:
         self.commit_id, self.branch = self.log.resolve(address or MAIN)
         self._state = self.log.working(self.branch) if self.branch else None
 
+    def __enter__(self) -> Dataset:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.flush()
+
     # -- state ---------------------------------------------------------------------------------------------
 
     def _working(self) -> dict:
@@ -1260,6 +1267,7 @@ class Dataset:
         self.log.files.rename(self.path, path.rstrip("/"))
         self.path = path.rstrip("/")
         self.log = Log(self.spark, self.path, self.log.user)
+        self.log.text = self.log_text
 
     def delete(self, large_ok: bool = False) -> None:
         self._writable()

@@ -103,7 +103,8 @@ class VectorIndex:
         """Adds rows (id, vector) to the cells; the cells stay as they are."""
         part = f"{self.path}/part-{len(self.meta.parts):05d}"
         rows = self._cell(vectors.select(self.meta.id_, self.meta.column))
-        rows.repartition("_cell").write.partitionBy("_cell").parquet(part)
+        # A large cell is written by several tasks.
+        rows.repartition("_cell", F.pmod(F.xxhash64(self.meta.id_), F.lit(8))).write.partitionBy("_cell").parquet(part)
         self.meta.parts.append(part)
         self.meta.commit = commit or self.meta.commit
         self.files.write(f"{self.path}/meta.json", json.dumps(asdict(self.meta)))

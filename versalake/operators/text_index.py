@@ -17,6 +17,10 @@ from versalake.functions.text import Analyser
 from versalake.store.files import Files
 
 
+#: Tasks that a shard's postings are written by, at most.
+SPREAD = 8
+
+
 def postings(df: DataFrame, column: str, pos: str, analyser: Analyser | None) -> DataFrame:
     """(token, pos): every token of a row once; without an analyser the value itself is the token."""
     if analyser is None:
@@ -76,7 +80,8 @@ class TextIndex:
     def _write(self, rows: DataFrame, name: str) -> None:
         path = f"{self.path}/{name}"
         out = rows.withColumn("shard", self._shard(F.col("token")))
-        out.repartition(self.meta["shards"], "shard").sortWithinPartitions("shard", "token", "pos").write.partitionBy("shard").parquet(path)
+        # A frequent token's postings are spread by position, so that no task writes all of them.
+        out.repartition("shard", F.pmod(F.xxhash64("pos"), F.lit(SPREAD))).sortWithinPartitions("shard", "token", "pos").write.partitionBy("shard").parquet(path)
         self.meta["parts"].append(path)
 
     def append(self, df: DataFrame, commit: str | None = None) -> None:
