@@ -3,6 +3,8 @@
 import pytest
 
 from tests.compare import DATA, differences
+from versalake.operators import knn
+from versalake.operators.ivf import VectorIndex
 from versalake.plans import registry
 
 SF = str(DATA / "sf0.001")
@@ -34,3 +36,13 @@ def test_recall_of_cells(spark):
     exact = {(r.query_id, r.vec_id) for r in registry.QUERIES["knn_l2"](spark, SF).collect()}
     found = {(r.query_id, r.vec_id) for r in registry.QUERIES["ivf_search"](spark, SF).collect()}
     assert len(exact & found) >= 0.6 * len(exact)
+
+
+@pytest.mark.parametrize("size, metric, params", [("sf0.001", "l2", {"nlist": 16}), ("sf0.1", "l2", {"nlist": 16}), ("sf0.1", "cosine", {}), ("sf0.1", "inner_product", {})])
+def test_recall_of_measured_probes(spark, tmp_path, size, metric, params):
+    rows = spark.read.parquet(str(DATA / size / "embeddings.parquet")).select("vec_id", "embedding")
+    asked = [(r.vec_id, r.embedding) for r in rows.where("vec_id % 50 = 0").collect()]
+    index = VectorIndex.create(rows, f"{tmp_path}/cells", "cells", "embedding", "IVFPQ", metric, "vec_id", **params).load(cache=False)
+    exact = {(r.query_id, r.vec_id) for r in knn.knn(rows, asked, 10, metric, "vec_id", "embedding").collect()}
+    found = {(r.query_id, r.vec_id) for r in index.search(asked, 10).collect()}
+    assert len(exact) == 10 * len(asked) and len(exact & found) >= 0.9 * len(exact)

@@ -345,7 +345,7 @@ def ivf_search(spark, sf):
 
     rows = read(spark, sf, "embeddings").select("vec_id", "embedding")
     index = VectorIndex.create(rows, _scratch(spark), "cells", "embedding", "IVFPQ", "l2", "vec_id", nlist=16).load(cache=False)
-    return index.search(_queries(rows), 10, nprobe=8, refine_factor=2)
+    return index.search(_queries(rows), 10, refine_factor=2)
 
 
 # -- text search ---------------------------------------------------------------------------------------------
