@@ -46,3 +46,20 @@ def test_recall_of_measured_probes(spark, tmp_path, size, metric, params):
     exact = {(r.query_id, r.vec_id) for r in knn.knn(rows, asked, 10, metric, "vec_id", "embedding").collect()}
     found = {(r.query_id, r.vec_id) for r in index.search(asked, 10).collect()}
     assert len(exact) == 10 * len(asked) and len(exact & found) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("name", ["knn_l2_blocks", "knn_ip_blocks", "knn_cosine_blocks", "knn_filtered_blocks", "knn_reranked_blocks", "ivf_search"])
+def test_searches_ask_a_share_of_the_table(spark, name):
+    got = registry.QUERIES[name](spark, SF).groupBy("query_id").count().collect()
+    assert {r.query_id for r in got} >= set(range(0, 500, 50)) and all(r["count"] == 10 for r in got)
+
+
+def test_blocks_equal_one_search(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    few = [(r.query_id, r.embedding) for r in asked.collect()]
+    flat = lambda df: sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 9)) for r in df.collect())
+    assert flat(knn.knn_blocks(rows, asked, 10, "l2", "vec_id", "embedding", block=3)) == flat(knn.knn(rows, few, 10, "l2", "vec_id", "embedding"))
+    assert knn.knn_blocks(rows, asked.limit(0), 10, "l2", "vec_id", "embedding").count() == 0
+    index = VectorIndex.create(rows, f"{tmp_path}/cells", "cells", "embedding", "IVFPQ", "cosine", "vec_id", nlist=16).load(cache=False)
+    assert flat(index.search_blocks(asked, 10, nprobe=3)) == flat(index.search(few, 10, nprobe=3))

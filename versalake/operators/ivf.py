@@ -210,3 +210,16 @@ class VectorIndex:
         distance = knn.measure(meta.metric, F.col(meta.column), F.col("_query"))
         found = knn._ranked(met.select("query_id", meta.id_, distance.alias("distance")).where(F.col("distance").isNotNull()), k * max(1, refine_factor), meta.metric, meta.id_)
         return found if refine_factor <= 1 else knn.rerank(found, rows, queries, k, meta.metric, meta.id_, meta.column)
+
+    def search_blocks(self, queries: DataFrame, k: int, nprobe: int | None = None, where=None, query_id: str = "query_id") -> DataFrame:
+        """The same for a table of queries (query_id, vector) of any size, in blocks of queries."""
+        if self.cached is None:
+            raise IndexMissing(f"index {self.path} isn't loaded")
+        rows, meta = self.cached if where is None else self.cached.where(where), self.meta
+
+        def reach(asked: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(asked), len(meta.centres)), bool)
+            np.put_along_axis(out, self._order(asked)[:, : self._probes(k, nprobe)], True, axis=1)
+            return out
+
+        return knn.knn_blocks(rows, queries, k, meta.metric, meta.id_, meta.column, query_id, reach=reach if meta.centres else None)

@@ -6,7 +6,7 @@ each query, so what goes through the shuffle is (tasks x queries x k) rows, what
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -70,17 +70,20 @@ def _ranked(found: DataFrame, k: int, metric: str, id_: str) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_, "distance")
 
 
-def knn(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "l2", id_: str = "_pos", vector: str = "embedding") -> DataFrame:
+def knn(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str = "l2", id_: str = "_pos", vector: str = "embedding", reach: np.ndarray | None = None) -> DataFrame:
     """(query_id, rank from 1, id, distance) of the k nearest rows of each query (id, vector). Rows whose vector is
-    null or of another length take no part."""
+    null or of another length take no part. reach: queries x cells, whether a query meets the rows of a `_cell`."""
     if metric not in METRICS:
         raise ValueError(f"no metric: {metric!r}")
     numbers = np.array([q for q, _ in queries], np.int64)
-    asked = np.array([list(v) for _, v in queries], np.float64).reshape(len(numbers), -1)
+    asked = np.array([list(v) for _, v in queries], np.float64).reshape(len(numbers), -1 if len(numbers) else 0)
     if asked.nbytes > MOST_QUERY_BYTES:
         raise TooLarge(f"{asked.nbytes} bytes of queries; put them in a table and use knn_blocks")
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_).cast("long").alias(id_), F.col(vector).cast("array<double>").alias("v"))
+    if reach is not None and not reach.any(axis=0).all():
+        vectors = vectors.where(F.col("_cell").isin(np.flatnonzero(reach.any(axis=0)).tolist()))
+    cell = F.lit(0) if reach is None else F.col("_cell")
+    rows = vectors.select(F.col(id_).cast("long").alias(id_), F.col(vector).cast("array<double>").alias("v"), cell.cast("int").alias("_cell"))
     rows = rows.where(F.col("v").isNotNull() & (F.size("v") == asked.shape[1]) & F.forall("v", lambda x: x.isNotNull()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,14 +92,17 @@ def knn(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, have = np.asarray(batch.column(0)), matrix(batch.column(1))
-            for at in range(0, len(numbers), 256):
-                near = distances(asked[at : at + 256], have, metric)
-                for i in range(len(near)):
-                    new = top(asked[at + i], ids, have, near[i], k, metric)
-                    both = np.concatenate([best[at + i][0], new[0]]), np.concatenate([best[at + i][1], new[1]])
-                    order = np.lexsort((both[0], sign * both[1]))[:k]
-                    best[at + i] = both[0][order], both[1][order]
+            every, vectors, cells = np.asarray(batch.column(0)), matrix(batch.column(1)), np.asarray(batch.column(2))
+            for c in np.unique(cells):
+                ids, have = every[cells == c], vectors[cells == c]
+                mine = np.arange(len(numbers)) if reach is None else np.flatnonzero(reach[:, c])
+                for at in range(0, len(mine), 256):
+                    near = distances(asked[mine[at : at + 256]], have, metric)
+                    for q, row in zip(mine[at : at + 256], near):
+                        new = top(asked[q], ids, have, row, k, metric)
+                        both = np.concatenate([best[q][0], new[0]]), np.concatenate([best[q][1], new[1]])
+                        order = np.lexsort((both[0], sign * both[1]))[:k]
+                        best[q] = both[0][order], both[1][order]
         if len(numbers):
             sizes = [len(i) for i, _ in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, sizes)), pa.array(np.concatenate([i for i, _ in best])), pa.array(np.concatenate([d for _, d in best]))], ["query_id", id_, "distance"])
@@ -104,23 +110,30 @@ def knn(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: i
     return _ranked(rows.mapInArrow(run, f"query_id long, `{id_}` long, distance double"), k, metric, f"`{id_}`")
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_: str = "_pos", vector: str = "embedding", query_id: str = "query_id", block: int = 4096) -> DataFrame:
-    """The same for a table of queries of any size, in blocks of queries: each pass over the rows serves one block."""
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_: str = "_pos", vector: str = "embedding", query_id: str = "query_id", block: int = 4096, reach: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The same for a table of queries of any size, in blocks of queries: each pass over the rows serves one block.
+    Queries whose vector is null take no part. reach: makes `knn`'s from a block's vectors."""
     made = None
+    queries = queries.where(F.col(vector).isNotNull())
     total = queries.count()
     luck = F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-total // block))))
     for i in range(max(1, -(-total // block))):
         part = [(r[0], r[1]) for r in queries.where(luck == i).select(query_id, vector).collect()]
-        found = knn(vectors, part, k, metric, id_, vector)
+        met = reach(np.array([list(v) for _, v in part], np.float64)) if reach and part else None
+        found = knn(vectors, part, k, metric, id_, vector, met)
         made = found if made is None else made.unionByName(found)
     return made
 
 
-def rerank(candidates: DataFrame, vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: str, id_: str = "_pos", vector: str = "embedding") -> DataFrame:
-    """Candidates (query_id, id) measured exactly by column expressions, the k best of each query."""
+def rerank(candidates: DataFrame, vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]]] | DataFrame, k: int, metric: str, id_: str = "_pos", vector: str = "embedding") -> DataFrame:
+    """Candidates (query_id, id) measured exactly by column expressions, the k best of each query. Queries may be a
+    table (query_id, vector) of any size."""
     spark = vectors.sparkSession
-    asked = spark.createDataFrame([(int(q), [float(x) for x in v]) for q, v in queries], "query_id long, _query array<double>")
-    met = candidates.select("query_id", id_).join(F.broadcast(asked), "query_id").join(vectors.select(id_, F.col(vector).alias("_v")), id_)
+    if isinstance(queries, DataFrame):
+        asked = queries.select("query_id", F.col(vector).cast("array<double>").alias("_query"))
+    else:
+        asked = F.broadcast(spark.createDataFrame([(int(q), [float(x) for x in v]) for q, v in queries], "query_id long, _query array<double>"))
+    met = candidates.select("query_id", id_).join(asked, "query_id").join(vectors.select(id_, F.col(vector).alias("_v")), id_)
     return _ranked(met.select("query_id", id_, measure(metric, F.col("_v"), F.col("_query")).alias("distance")), k, metric, id_)
 
 

@@ -288,10 +288,10 @@ _L2 = "list_sum(list_transform(generate_series(1, 64), lambda i: (CAST(a.embeddi
 _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
 
-def _knn_sql(distance: str, order: str, where: str = "true") -> str:
+def _knn_sql(distance: str, order: str, where: str = "true", asked: str = "vec_id < 5") -> str:
     return f"""SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM (SELECT a.vec_id AS query_id, b.vec_id, {distance} AS d,
 row_number() OVER (PARTITION BY a.vec_id ORDER BY round({distance}, 9) {order}, b.vec_id) AS rank
-FROM (SELECT * FROM embeddings WHERE vec_id < 5) a, (SELECT * FROM embeddings WHERE {where}) b) WHERE rank <= 10"""
+FROM (SELECT * FROM embeddings WHERE {asked}) a, (SELECT * FROM embeddings WHERE {where}) b) WHERE rank <= 10"""
 
 
 def _queries(rows: DataFrame) -> list[tuple[int, list[float]]]:
@@ -307,6 +307,28 @@ def _knn(metric: str, where: str | None = None):
     return run
 
 
+#: The queries of a search over a whole table: a share of it, so they grow with it.
+ASKED = "vec_id % 50 = 0"
+
+
+def _asked(rows: DataFrame, which: str = ASKED) -> DataFrame:
+    return rows.where(which).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _knn_blocks(metric: str, where: str | None = None):
+    def run(spark, sf):
+        rows = read(spark, sf, "embeddings")
+        out = knn.knn_blocks(rows if where is None else rows.where(where), _asked(rows), 10, metric, "vec_id", "embedding")
+        return out.withColumn("distance", F.round("distance", 6))
+
+    return run
+
+
+_COSINE = f"({_DOT}) / ({_NORM.format('a')} * {_NORM.format('b')})"
+for _name, _metric, _distance, _order in (("knn_l2_blocks", "l2", _L2, "ASC"), ("knn_ip_blocks", "inner_product", _DOT, "DESC"), ("knn_cosine_blocks", "cosine", _COSINE, "DESC")):
+    QUERIES[_name], ORACLES[_name] = _knn_blocks(_metric), _knn_sql(_distance, _order, asked=ASKED)
+QUERIES["knn_filtered_blocks"], ORACLES["knn_filtered_blocks"] = _knn_blocks("l2", "label = 3"), _knn_sql(_L2, "ASC", "label = 3", ASKED)
+
 for _name, _metric, _sql in (("knn_l2", "l2", _knn_sql(_L2, "ASC")), ("knn_ip", "inner_product", _knn_sql(_DOT, "DESC")), ("knn_cosine", "cosine", _knn_sql(f"({_DOT}) / ({_NORM.format('a')} * {_NORM.format('b')})", "DESC"))):
     QUERIES[_name], ORACLES[_name] = _knn(_metric), _sql
 QUERIES["knn_filtered"], ORACLES["knn_filtered"] = _knn("l2", "label = 3"), _knn_sql(_L2, "ASC", "label = 3")
@@ -327,6 +349,13 @@ def knn_reranked(spark, sf):
     return knn.rerank(wide, rows, asked, 10, "l2", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
 
 
+@query(_knn_sql(_L2, "ASC", asked=ASKED))
+def knn_reranked_blocks(spark, sf):
+    rows = read(spark, sf, "embeddings")
+    wide = knn.knn_blocks(rows, _asked(rows), 40, "l2", "vec_id", "embedding")
+    return knn.rerank(wide, rows, _asked(rows), 10, "l2", "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 def _scratch(spark) -> str:
     import tempfile
     import uuid
@@ -345,7 +374,8 @@ def ivf_search(spark, sf):
 
     rows = read(spark, sf, "embeddings").select("vec_id", "embedding")
     index = VectorIndex.create(rows, _scratch(spark), "cells", "embedding", "IVFPQ", "l2", "vec_id", nlist=16).load(cache=False)
-    return index.search(_queries(rows), 10, refine_factor=2)
+    # The first five are those of knn_l2, which it is compared with.
+    return index.search_blocks(_asked(rows, f"{ASKED} OR vec_id < 5"), 10)
 
 
 # -- text search ---------------------------------------------------------------------------------------------
