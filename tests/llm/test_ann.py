@@ -62,3 +62,39 @@ def test_blocks_and_groups_split(spark, monkeypatch):
     got = grouped(ann.neighbours(table, F.col("id") % 20 == 0))
     want = brute([(r.vec_id, r.embedding) for r in table.collect()])
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+
+
+def once_by_best(rows, k=20, every=20):
+    """brute(), with repeated ids."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    out = {}
+    for i, v in rows:
+        if i % every == 0:
+            for j, s in zip(ids.tolist(), ann.exact(np.array(v, np.float64), x).tolist()):
+                if j != i:
+                    seen = out.setdefault(i, {})
+                    seen[j] = max(s, seen.get(j, -np.inf))
+    return {q: sorted(s.items(), key=lambda p: (-p[1], p[0]))[:k] for q, s in out.items()}
+
+
+def test_best_keeps_each_id_once():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 6))
+    ids = np.concatenate([np.arange(50), np.arange(50), np.full(40, 7)])
+    rows = np.concatenate([x, x * 0.5, np.tile(x[7] + 0.01, (40, 1))])
+    for k in (5, 20, 49, 60):
+        (got, score), = ann.best(x[:1], ids, rows, np.array([0]), k)
+        scores = ann.exact(x[0], rows)
+        want = {i: max(scores[ids == i]) for i in range(1, 50)}
+        assert list(zip(got.tolist(), score.tolist())) == sorted(want.items(), key=lambda p: (-p[1], p[0]))[:k]
+
+
+def test_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] * 2  # each row twice
+    rows += [(301, (np.array(rows[0][1]) * (2 + n / 500)).tolist()) for n in range(500)]  # a hot id, near to query 0
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = grouped(ann.neighbours(table, F.col("id") % 20 == 0)), once_by_best(rows)
+    assert got.keys() == want.keys() and all(len({i for i, _ in v}) == 20 for v in got.values())
+    assert got[0][0][0] == 301
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9

@@ -7,7 +7,7 @@ product and distance agree. What share of the rows a query must examine for a re
 sample against brute force, so clustered vectors take few leaves and vectors without structure many.
 
 *Index.* Every row goes down every tree. Leaves that are neighbours in a tree make up blocks of about `BLOCK` rows; a
-leaf with more rows is split by a hash of the id.
+leaf with more rows is split by a hash of the id (and of the vector, where ids repeat).
 
 *Search.* A query's queue holds nodes of all trees, least summed squared margin first; leaves come out until they
 hold the share of rows to examine. Queries meet the rows of their leaves block by block, `QUERIES` at a time, never as
@@ -89,7 +89,10 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, allowed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and scores of its k best rows."""
+    """For each query the ids and scores of its k best ids, each by its best row."""
+    once, group = np.unique(ids, return_inverse=True)
+    by_id = np.argsort(group, kind="stable")
+    heads = np.searchsorted(group[by_id], np.arange(len(once)))
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
         scores = part @ rows.T
@@ -97,15 +100,18 @@ def best(queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray
         if allowed is not None:
             scores[~allowed[at : at + 256]] = -np.inf
         for q, s in zip(part, scores):
-            if len(s) > k:
+            if len(once) > k:
                 # The product's rounding depends on the block's shape; all that may be among the k best are recomputed.
-                edge = np.partition(s, len(s) - k)[len(s) - k]
+                tops = s if len(once) == len(s) else np.maximum.reduceat(s[by_id], heads)
+                edge = np.partition(tops, len(tops) - k)[len(tops) - k]
                 pick = np.flatnonzero(s >= edge - 1e-9 * max(1.0, abs(edge))) if np.isfinite(edge) else np.flatnonzero(np.isfinite(s))
             else:
                 pick = np.flatnonzero(np.isfinite(s))
             score = exact(q, rows[pick])
-            order = np.lexsort((ids[pick], -score))[:k]
-            yield ids[pick[order]], score[order]
+            order = np.lexsort((ids[pick], -score))
+            if len(once) < len(s):
+                order = order[np.sort(np.unique(ids[pick[order]], return_index=True)[1])]
+            yield ids[pick[order[:k]]], score[order[:k]]
 
 
 def grow(sample: np.ndarray, norm: float, depth: int, trees: int = TREES) -> Forest:
@@ -133,20 +139,23 @@ def grow(sample: np.ndarray, norm: float, depth: int, trees: int = TREES) -> For
     return forest
 
 
-def calibrate(forest: Forest, sample: np.ndarray, k: int, target: float = RECALL, queries: int = 64) -> float:
-    """The smallest of `SHARES` that reaches the recall on the sample."""
+def calibrate(forest: Forest, sample: np.ndarray, k: int, target: float = RECALL, queries: int = 64, ids: np.ndarray | None = None) -> float:
+    """The smallest of `SHARES` that reaches the recall on the sample. ids: those of the sample, if any repeats."""
     leaves = forest.leaves(sample)
-    forest.counts = np.array([np.bincount(leaves[:, t], minlength=2**forest.depth) for t in range(len(forest.planes))])
-    ids = np.arange(len(sample))
-    picked = ids[:: max(1, len(ids) // queries)]
-    true = [set(i.tolist()) for i, _ in best(sample[picked], ids, sample, picked, k)]
+    ids = np.arange(len(sample)) if ids is None else ids
+    known = np.unique(ids)
+    forest.counts = np.zeros((len(forest.planes), 2**forest.depth), np.int64)
+    for t in range(len(forest.planes)):
+        np.add.at(forest.counts[t], np.unique(np.column_stack([leaves[:, t], ids]), axis=0)[:, 0], 1)
+    picked = np.arange(len(ids))[:: max(1, len(ids) // queries)]
+    true = [set(i.tolist()) for i, _ in best(sample[picked], ids, sample, ids[picked], k)]
     for share in SHARES:
         hits = total = 0
         for q, want in zip(picked, true):
             seen = np.zeros(len(ids), bool)
-            for t, leaf in forest.search(sample[q], share * len(ids)):
+            for t, leaf in forest.search(sample[q], share * len(known)):
                 seen |= leaves[:, t] == leaf
-            hits += sum(bool(seen[i]) for i in want)
+            hits += len(want.intersection(ids[seen].tolist()))
             total += len(want)
         if hits >= target * total:
             return share
@@ -174,17 +183,22 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "ve
     ship(spark)
     out = f"query_id long, rank int, {id_} long, score double"
     rows = valid(vectors, id_, vector)
-    stat = rows.agg(F.count(F.lit(1)).alias("n"), F.max("n2").alias("n2")).first()
+    stat = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("n2").alias("n2")).first()
     if not stat.n:
         return spark.createDataFrame([], out)
-    luck = F.pmod(F.xxhash64(F.lit("forest"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    repeated = stat.ids < stat.n
+    if repeated:  # equal rows are one; an id's other rows are spread as those of different ids are
+        rows = written(rows.dropDuplicates(["id", "v"]), "ann-rows")
+        stat = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("n2").alias("n2")).first()
+    spread = ["id", "v"] if repeated else ["id"]
+    luck = F.pmod(F.xxhash64(F.lit("forest"), *spread), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(luck < SAMPLE / stat.n).select("id", "v").toArrow().sort_by("id")
     points = _matrix(sample.column("v"))
     depth = int(min(DEPTH, max(0, np.log2(stat.n / LEAF)), max(0, np.log2(max(1, len(points)) / 4))))
     if not len(points):
         points, depth = np.zeros((1, len(rows.select("v").first().v))), 0
     forest = grow(points, float(np.sqrt(stat.n2)), depth)
-    forest.share = calibrate(forest, points, k, recall)
+    forest.share = calibrate(forest, points, k, recall, ids=sample.column("id").to_numpy() if repeated and sample.num_rows else None)
     # Planes and counts have a size that is bounded by TREES and DEPTH.
     shared = spark.sparkContext.broadcast(forest)
 
@@ -200,9 +214,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "ve
                 )
 
     members = written(rows.select("id", "v").mapInArrow(place, "id long, v array<double>, tree int, leaf int"), "ann-index")
-    counts = np.zeros((TREES, 2**depth), np.int64)
-    for tree, leaf, n in members.groupBy("tree", "leaf").count().collect():
-        counts[tree, leaf] = n
+    # Blocks are made by rows, the queue counts ids: repetitions of an id don't use up what a query examines.
+    counts, known = np.zeros((2, TREES, 2**depth), np.int64)
+    held = F.count_distinct("id") if repeated else F.count(F.lit(1))
+    for tree, leaf, n, m in members.groupBy("tree", "leaf").agg(F.count(F.lit(1)), held).collect():
+        counts[tree, leaf], known[tree, leaf] = n, m
     # Blocks: neighbouring leaves together, or a part of a large leaf.
     block, parts = np.zeros_like(counts), [0]
     for t in range(TREES):
@@ -215,8 +231,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "ve
             block[t, leaf] = len(parts) - 1
             held += counts[t, leaf]
             parts[-1] = max(1, -(-held // BLOCK)) if held > BLOCK else 1
-    forest.counts = counts
-    searching = spark.sparkContext.broadcast((forest, block, np.array(parts), forest.share * stat.n))
+    forest.counts = known
+    searching = spark.sparkContext.broadcast((forest, block, np.array(parts), forest.share * stat.ids))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, blocks, splits, examine = searching.value
@@ -248,7 +264,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "ve
     table = spark.createDataFrame(
         pa.table({"tree": np.repeat(np.arange(TREES, dtype=np.int32), 2**depth), "leaf": np.tile(np.arange(2**depth, dtype=np.int32), TREES), "block": block.reshape(-1).astype(np.int32), "parts": np.array(parts, np.int32)[block.reshape(-1)]})
     )
-    placed = members.join(F.broadcast(table), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int"))
+    placed = members.join(F.broadcast(table), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), *spread), F.col("parts")).cast("int"))
     placed = placed.join(load, ["block", "part"]).select("block", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "id", "v", "leaf", F.lit(None).cast("array<int>").alias("leaves"))
 
     def meet(group: pa.Table) -> pa.Table:
