@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -76,3 +77,12 @@ def test_edit_tables(spark, count, monkeypatch):
         assert sorted((r.doc_id, r.text, r.counts[1]) for r in done.collect()) == sorted((i, t, count(t or "")) for i, t in [(1, "good bye "), (1, "good bye "), (2, "new!"), (3, "untouched")])
     assert token_trees.recount(docs.limit(0), tokenizer_path()).count() == 0
     assert token_trees.recount(docs, tokenizer_path(), edits.limit(0)).agg(F.sum("n_encoded")).first()[0] == 0
+
+
+def test_recount_of_repeated_rows(spark, count):
+    one, other = "card 4304158793483661 and 123456789 more", "x 999999999999"
+    docs = spark.createDataFrame([(1, one), (1, one), (1, other), (1, "plain"), (2, other)], "doc_id long, text string").repartition(3)
+    got = token_trees.recount(docs, tokenizer_path()).collect()
+    want = [(1, one, 2), (1, one, 2), (1, other, 1), (1, "plain", 0), (2, other, 1)]
+    after = lambda text: count(re.sub("[0-9]{9,}", "[number]", text))
+    assert sorted((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after) for r in got) == sorted((i, count(t), n, after(t)) for i, t, n in want)

@@ -170,28 +170,35 @@ def apply(trees: DataFrame, path: str) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """`docs` with the array of each document's edits, in order; null where there are none."""
-    each = edits.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("edits"))
+    """`docs` with the array of each document's edits, in order; null where there are none. Edits that name a text, by
+    its hash in `text_hash`, are for the rows of that text alone."""
+    keys = [F.col("doc_id").alias("_id")]
+    on = F.col("doc_id") == F.col("_id")
+    if "text_hash" in edits.columns:
+        keys.append(F.col("text_hash").alias("_hash"))
+        on &= F.xxhash64("text") == F.col("_hash")
+    each = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("edits"))
     few = edits.count() <= MOST_EDITS
-    return docs.drop("edits").join(F.broadcast(each) if few else each, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    return docs.drop("edits").join(F.broadcast(each) if few else each, on, "left").drop("_id", "_hash")
 
 
 def redactions(docs: DataFrame, pattern: str = "[0-9]{9,}", replacement: str = "[number]") -> DataFrame:
-    """Edits that replace every match of a pattern, last match first, so that offsets hold one after another."""
+    """Edits that replace every match of a pattern, last match first, so that offsets hold one after another. Each is
+    for the rows of its own text (`text_hash`), and there once however often a row is repeated."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(pattern))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).where(F.col("text").rlike(pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).finditer
         for batch in batches:
-            found = [(i, -m.start(), m.start(), m.end() - m.start(), replacement) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in find(t)]
-            columns = list(zip(*found)) if found else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "seq", "start", "length", "replacement"])
+            found = [(i, h, -m.start(), m.start(), m.end() - m.start(), replacement) for i, t, h in zip(*(c.to_pylist() for c in batch.columns)) for m in find(t)]
+            columns = list(zip(*found)) if found else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "text_hash", "seq", "start", "length", "replacement"])
 
-    return rows.mapInArrow(run, "doc_id long, seq long, start long, length long, replacement string")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, seq long, start long, length long, replacement string").distinct()
 
 
 def recount(docs: DataFrame, path: str, edits: DataFrame | None = None) -> DataFrame:
