@@ -86,3 +86,21 @@ def test_recount_of_repeated_rows(spark, count):
     want = [(1, one, 2), (1, one, 2), (1, other, 1), (1, "plain", 0), (2, other, 1)]
     after = lambda text: count(re.sub("[0-9]{9,}", "[number]", text))
     assert sorted((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after) for r in got) == sorted((i, count(t), n, after(t)) for i, t, n in want)
+
+
+def test_registered_edits(spark, count):
+    from versalake.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", token_trees.workload().alias("edits"))
+    got = {r.doc_id: r for r in queries.QUERIES["op1_token_edits"](spark, sf).collect()}
+    rows = docs.collect()
+    assert sum(r.n_edits > 0 for r in got.values()) > 0.8 * len(rows) == 0.8 * len(got)
+    edits = [e for r in rows for e in r.edits or []]
+    assert any(e.length == 0 for e in edits) and any(not e.replacement for e in edits) and any(e.start is None for e in edits)
+    for r in rows:
+        text = r.text or ""
+        for e in r.edits or []:
+            at = len(text) if e.start is None else e.start
+            text = text[:at] + (e.replacement or "") + text[at + e.length :]
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_tokens_after) == (count(r.text or ""), count(text))

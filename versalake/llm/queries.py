@@ -73,3 +73,8 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_trees.recount(documents(spark, sf_dir), tokenizer_path())
+
+
+@query
+def op1_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trees.recount(documents(spark, sf_dir), tokenizer_path(), token_trees.workload())

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,12 +201,43 @@ def redactions(docs: DataFrame, pattern: str = "[0-9]{9,}", replacement: str = "
     return rows.mapInArrow(run, "doc_id long, text_hash long, seq long, start long, length long, replacement string").distinct()
 
 
-def recount(docs: DataFrame, path: str, edits: DataFrame | None = None) -> DataFrame:
+def workload() -> Column:
+    """Edits of a row by a hash of its doc_id, for seven documents of eight: insertions, deletions and replacements at
+    the start, inside and at the end, some longer than a leaf."""
+    luck, n = F.xxhash64(F.lit("edit"), "doc_id"), F.coalesce(F.length("text"), F.lit(0))
+    inside = F.pmod(luck, F.greatest(n, F.lit(1)))
+    long = F.repeat(F.lit(" more words"), 3 * LEAF)
+
+    def edit(seq: int, start, length, replacement) -> Column:
+        kinds = (("seq", F.lit(seq)), ("start", start), ("length", length), ("replacement", replacement))
+        return F.struct(*(c.cast("string" if name == "replacement" else "long").alias(name) for name, c in kinds))
+
+    some, none = F.lit(200), F.lit(None)
+    ways = [
+        [edit(0, F.lit(0), F.lit(0), F.lit("Note: "))],
+        [edit(0, none, F.lit(0), long)],
+        [edit(0, inside, some, none)],
+        [edit(0, inside, some, long)],
+        [edit(0, F.lit(0), some, none)],
+        [edit(0, F.greatest(n - 200, F.lit(0)), some, none)],
+        [edit(0, inside, F.lit(0), F.lit(" [seen] ")), edit(1, F.lit(0), F.lit(1), F.lit("É"))],
+    ]
+    out = F.when(F.lit(False), F.array(*ways[0]))
+    for i, way in enumerate(ways):
+        out = out.when(F.pmod(F.xxhash64(F.lit("way"), "doc_id"), F.lit(8)) == i, F.array(*way))
+    return out
+
+
+def recount(docs: DataFrame, path: str, edits: DataFrame | Column | None = None) -> DataFrame:
     """doc_id, n_tokens, n_edits, n_tokens_after, n_encoded, n_bytes: every document's count before and after edits
-    (by default the redaction of long numbers), and how many of its bytes were encoded again for it."""
+    (by default the redaction of long numbers; a column is each row's own), and how many of its bytes were encoded
+    again for it."""
     docs = docs.select("doc_id", "text")
-    edits = written(redactions(docs) if edits is None else edits, "token-edits")
-    trees = build(with_edits(docs, edits), path).withColumn("n_tokens", F.element_at("counts", 2)).withColumn("n_edits", F.coalesce(F.size("edits"), F.lit(0)))
+    if isinstance(edits, Column):
+        edited = docs.withColumn("edits", edits)
+    else:
+        edited = with_edits(docs, written(redactions(docs) if edits is None else edits, "token-edits"))
+    trees = build(edited, path).withColumn("n_tokens", F.element_at("counts", 2)).withColumn("n_edits", F.coalesce(F.size("edits"), F.lit(0)))
     trees = trees.withColumn("n_edits", F.when(F.col("edits").isNull(), 0).otherwise(F.col("n_edits")).cast("long"))
     done = apply(trees.withColumn("n_bytes", F.element_at("spans", 2)), path)
     return done.select("doc_id", "n_tokens", "n_edits", F.element_at("counts", 2).alias("n_tokens_after"), "n_encoded", "n_bytes")
