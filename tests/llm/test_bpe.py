@@ -86,3 +86,45 @@ def test_token_files(spark, library, tmp_path):
             seen += mask.sum()
     assert seen == total == start
     assert token_files.round_trip(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def thue_morse(n):
+    """n letters and their complement: sums of byte times base^i, modulo 2^64, are equal for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ x] for b in bits) for x in (0, 1)]
+
+
+def test_chunks_of_equal_hash(library):
+    coder = bpe.ByteBPE(tokenizer_path())
+    rng = random.Random(6)
+    all_ = [x for n in (1024, 2048, 4096, 65536) for x in thue_morse(n)] + texts()[:300]
+    all_ += [" ".join(rng.choice(all_) for _ in range(3)) for _ in range(40)]
+    for some in (all_, all_[::-1]):
+        ids, at = coder.encode(some)
+        assert coder.decode(ids, at) == [library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in some]
+        for i, (text, e) in enumerate(zip(some, library.encode_batch(some, add_special_tokens=False))):
+            assert ids[at[i] : at[i + 1]].tolist() == e.ids
+
+
+@pytest.mark.parametrize("same", [lambda d, p, q: np.zeros(len(p), np.uint64), lambda d, p, q: (q - p).astype(np.uint64)])
+def test_forced_collisions(library, monkeypatch, same):
+    coder = bpe.ByteBPE(tokenizer_path())
+    monkeypatch.setattr(coder, "_hashes", same)
+    for part in (texts()[:200], texts()[100:400]):
+        ids, at = coder.encode(part)
+        for i, (text, e) in enumerate(zip(part, library.encode_batch(part, add_special_tokens=False))):
+            assert ids[at[i] : at[i + 1]].tolist() == e.ids, text
+
+
+def test_memory_starts_afresh(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    coder = bpe.ByteBPE(tokenizer_path())
+    for text in texts()[:300]:
+        assert coder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_very_long_words(library):
+    coder = bpe.load(tokenizer_path())
+    rng = random.Random(7)
+    for word in ("".join(rng.choice("etaoinshrdlu日本éü") for _ in range(60_000)), "=" * 100_000, "internationalization" * 3000):
+        assert coder.encode([word])[0].tolist() == library.encode(word, add_special_tokens=False).ids

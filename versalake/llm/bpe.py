@@ -23,9 +23,9 @@ import numpy as np
 
 #: The public pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct chunks that are remembered in a worker; beyond it the memory starts afresh.
+#: Distinct chunks that are remembered in a worker (of 16 bytes on average); beyond it the memory starts afresh.
 MEMO = 1_000_000
-#: Pre-tokens of more bytes than this are merged exactly with a heap; greedy proposals are for ordinary words.
+#: Pre-tokens of more bytes than this get their proposals from all places at once, and are merged with a heap if those fail.
 LONG = 200
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -240,20 +240,22 @@ class ByteBPE:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after another, and where each begins (one entry more than words)."""
+        if not self.speculative:
+            found = [self.merge(w) for w in words]
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
+            return np.array([i for x in found for i in x], np.int32), begin
         size = np.array([len(w) for w in words], np.int64)
-        exact = [i for i in (np.flatnonzero(size > LONG) if self.speculative else range(len(words)))]
-        done = {int(i): self.merge(words[i]) for i in exact}
-        small = np.ones(len(words), bool)
-        small[exact] = False
-        index = np.flatnonzero(small)
-        data = np.frombuffer(b"".join(words[i] for i in index) if len(exact) else b"".join(words), np.uint8)
-        ends = np.cumsum(size[index])
-        p = ends - size[index]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(size)
+        p = ends - size
         power, unpower = self._powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
         token = np.full(len(data), -1, np.int32)
-        live = np.flatnonzero(p < ends)
+        long = np.flatnonzero(size > LONG)
+        for i in long.tolist():
+            self._propose(total, p[i], ends[i], token)
+        live = np.flatnonzero((p < ends) & (size <= LONG))
         while len(live):
             at, rest = p[live], ends[live] - p[live]
             step = np.zeros(len(live), np.int64)
@@ -284,16 +286,16 @@ class ByteBPE:
         ok = self.compatible(pairs // self.size, pairs % self.size)
         # The proposal must also spell the word: a hash that collides is found here.
         spelled = self.decode_bytes(ids) if len(ids) else np.empty(0, np.uint8)
-        wrong = np.zeros(len(index), bool)
+        wrong = np.zeros(len(words), bool)
         wrong[owner[same[~ok[back]]]] = True
         if len(spelled) != len(data):
             wrong[:] = True
         else:
             wrong[np.searchsorted(ends, np.flatnonzero(spelled != data), side="right")] = True
-        failed = index[wrong]
+        done = {i: self.merge(words[i]) for i in long[wrong[long]].tolist()}
+        failed = np.flatnonzero(wrong & (size <= LONG))
         merged, per = self.merge_all([words[i] for i in failed])
-        count = np.zeros(len(words), np.int64)
-        count[index] = np.bincount(owner, minlength=len(index))
+        count = np.bincount(owner, minlength=len(words))
         count[failed] = per
         for i, x in done.items():
             count[i] = len(x)
@@ -301,20 +303,38 @@ class ByteBPE:
         out = np.empty(begin[-1], np.int32)
         right = ~wrong[owner]
         place = np.arange(len(ids)) - np.searchsorted(owner, owner)
-        out[begin[index[owner[right]]] + place[right]] = ids[right]
+        out[begin[owner[right]] + place[right]] = ids[right]
         out[np.repeat(begin[failed] - (np.cumsum(per) - per), per) + np.arange(len(merged))] = merged
         for i, x in done.items():
             out[begin[i] : begin[i + 1]] = x
         return out, begin
 
+    def _propose(self, total: np.ndarray, a: int, b: int, token: np.ndarray) -> None:
+        """Greedy longest match of one long word: the longest token at each of its places, then the chain of them."""
+        _, unpower = self._powers(len(total))
+        longest, ids = np.zeros(b - a, np.int64), np.full(b - a, -1, np.int32)
+        for n in self.lengths:
+            q = np.arange(a, b - n + 1)
+            got = self._lookup((total[q + n] - total[q]) * unpower[q])
+            hit = np.flatnonzero(got >= 0)
+            longest[hit], ids[hit] = n, got[hit]
+        steps, at, spots = longest.tolist(), 0, []
+        while at < b - a:
+            spots.append(at)
+            at += steps[at]
+        token[a + np.array(spots)] = ids[spots]
+
     # -- texts -------------------------------------------------------------------------------------------
 
     def _forget(self) -> None:
-        """Drops what is remembered of chunks: their hashes, sorted, and where their ids are."""
+        """Drops what is remembered of chunks: their hashes, sorted, their bytes and their ids."""
         self._main = (np.empty(0, np.uint64), np.empty(0, np.int64))
         self._late = (np.empty(0, np.uint64), np.empty(0, np.int64))
         self._ids: np.ndarray = np.empty(0, np.int32)
         self._at = np.zeros(1, np.int64)
+        self._said: np.ndarray = np.empty(0, np.uint8)
+        self._said_at = np.zeros(1, np.int64)
+        self._twins: dict[bytes, int] = {}
         self._chunk_count = 0
 
     def _recall(self, hashes: np.ndarray) -> np.ndarray:
@@ -369,7 +389,7 @@ class ByteBPE:
         """Where each chunk of the texts starts, and its number in the memory. A chunk starts at the text's start and
         at each space or line end after something else than white space, where a pre-token always starts whatever
         else the text holds. Chunks repeat, so each distinct one is encoded once."""
-        if len(self._main[0]) > MEMO:
+        if self._chunk_count > MEMO or self._said_at[self._chunk_count] > 16 * MEMO:
             self._forget()
         blank = _blank(data)
         start = ((data == 32) | (data == 10)) & ~np.concatenate([[False], blank[:-1]])
@@ -377,28 +397,11 @@ class ByteBPE:
         start[heads] = True
         p = np.flatnonzero(start)
         q = np.append(p[1:], len(data))
-        power, unpower = self._powers(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        hashes = (total[q] - total[p]) * unpower[p]
-        # The length takes part: sums of powers alone would leave more to chance.
-        hashes ^= (q - p).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, back = np.unique(self._hashes(data, p, q), return_index=True, return_inverse=True)
         number = self._recall(distinct)
         new = np.flatnonzero(number < 0)
         if len(new):
-            a, b = p[first[new]], q[first[new]]
-            blanks = np.concatenate([[0], np.cumsum(blank)])
-            lead = ((data[a] == 32) | (data[a] == 10)).astype(np.int64)
-            plain = (blanks[b] - blanks[np.minimum(a + lead, b)] == 0) & (b - a > lead)
-            raw = data.tobytes()
-            special = any(s.encode() in raw for s in self.specials)
-            ids, count = self._learn([raw[x:y] for x, y in zip(a.tolist(), b.tolist())], plain, special)
-            base = self._chunk_count
-            self._at = _put(self._at, base + 1, self._at[base] + np.cumsum(count))
-            self._ids = _put(self._ids, int(self._at[base]), ids)
-            self._chunk_count += len(new)
-            number[new] = base + np.arange(len(new))
+            number[new] = self._remember(data, blank, p[first[new]], q[first[new]])
             keys, numbers = (np.append(x, y) for x, y in zip(self._late, (distinct[new], number[new])))
             if len(keys) * 8 > len(self._main[0]):
                 keys, numbers = (np.append(x, y) for x, y in zip(self._main, (keys, numbers)))
@@ -408,7 +411,57 @@ class ByteBPE:
             else:
                 order = np.argsort(keys)
                 self._late = keys[order], numbers[order]
-        return p, number[back]
+        chunk = number[back]
+        wrong = self._different(data, p, q, chunk)
+        if len(wrong):
+            # Chunks whose hash is another's: they are known by their bytes.
+            raw = data.tobytes()
+            twins = [raw[a:b] for a, b in zip(p[wrong].tolist(), q[wrong].tolist())]
+            fresh = {t: i for t, i in zip(twins, wrong.tolist()) if t not in self._twins}
+            if fresh:
+                at = np.array(list(fresh.values()))
+                self._twins |= zip(fresh, self._remember(data, blank, p[at], q[at]).tolist())
+            chunk[wrong] = [self._twins[t] for t in twins]
+        return p, chunk
+
+    def _hashes(self, data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """A quick hash of each chunk. Different chunks may share one: `_different` compares bytes."""
+        power, unpower = self._powers(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+        return (total[q] - total[p]) * unpower[p] ^ (q - p).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+
+    def _different(self, data: np.ndarray, p: np.ndarray, q: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+        """Which of the chunks, that cover the data, aren't the remembered ones byte by byte."""
+        said, size = gather(self._said, self._said_at, chunk)
+        odd = size != q - p
+        if odd.any():
+            fine = np.flatnonzero(~odd)
+            said, _ = gather(self._said, self._said_at, chunk[fine])
+            data, _ = gather(data, np.append(p, len(data)), fine)
+        else:
+            fine = np.arange(len(p))
+        differ = np.flatnonzero(said != data)
+        if len(differ):
+            odd[fine[np.searchsorted(np.cumsum((q - p)[fine]), differ, side="right")]] = True
+        return np.flatnonzero(odd)
+
+    def _remember(self, data: np.ndarray, blank: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Encodes the chunks data[a[i]:b[i]] and gives the numbers under which they are remembered."""
+        blanks = np.concatenate([[0], np.cumsum(blank)])
+        lead = ((data[a] == 32) | (data[a] == 10)).astype(np.int64)
+        plain = (blanks[b] - blanks[np.minimum(a + lead, b)] == 0) & (b - a > lead)
+        raw = data.tobytes()
+        special = any(s.encode() in raw for s in self.specials)
+        chunks = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+        ids, count = self._learn(chunks, plain, special)
+        base = self._chunk_count
+        self._said = _put(self._said, int(self._said_at[base]), np.frombuffer(b"".join(chunks), np.uint8))
+        self._said_at = _put(self._said_at, base + 1, self._said_at[base] + np.cumsum(b - a))
+        self._ids = _put(self._ids, int(self._at[base]), ids)
+        self._at = _put(self._at, base + 1, self._at[base] + np.cumsum(count))
+        self._chunk_count += len(a)
+        return base + np.arange(len(a))
 
     def encode_bytes(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[begin[i]:begin[i + 1]] (UTF-8), one after another, and where each text begins."""
