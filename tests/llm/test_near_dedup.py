@@ -123,3 +123,48 @@ def test_overlap_counts_exactly():
     for (x, y), s in zip(pairs, near_dedup.overlap(data, begin, len(pairs))):
         union = sum((bag(x) | bag(y)).values())
         assert s == pytest.approx(sum((bag(x) & bag(y)).values()) / union if union else 0)
+
+
+def pair_overlap(pairs):
+    raw = [t.encode() for p in pairs for t in p]
+    data, begin = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    return near_dedup.overlap(data, begin, len(pairs)).tolist()
+
+
+def test_no_words_of_equal_hash():
+    for n in (1024, 2048):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        assert pair_overlap([tuple("".join("ab"[b ^ x] for b in bits) for x in (0, 1))]) == [0.0]
+    words = [c * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 200) for c in "abxyz"] + [("ab" * 99)[i : i + 30] + c for i in (0, 1) for c in "\x00\x01"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    assert len(set(near_dedup.hash_words(data, ends - [len(w) for w in words], ends).tolist())) == len(set(words))
+
+
+@pytest.mark.parametrize("weak", ["hash_words", "hash_shingles"])
+def test_overlap_is_exact_under_collisions(monkeypatch, weak):
+    monkeypatch.setattr(near_dedup, weak, lambda x, *_: np.full(len(_[0]) if _ else len(x), 7, np.uint64))
+    texts = [t for _, t in corpus() if t is not None]
+    pairs = [(texts[i], texts[(7 * i + 1) % len(texts)]) for i in range(0, len(texts), 3)] + [("a b c d e f", "a b c d e g"), ("one", "two"), ("x", "x")]
+    for (x, y), s in zip(pairs, pair_overlap(pairs)):
+        union = sum((bag(x) | bag(y)).values())
+        assert s == pytest.approx(sum((bag(x) & bag(y)).values()) / union if union else 0)
+
+
+def test_hot_centres_and_hubs_are_split(spark, monkeypatch):
+    from versalake.llm import common
+
+    monkeypatch.setattr(near_dedup, "SHARE", 3)
+    monkeypatch.setattr(common, "LEAST", 3)
+    rows = [(*r, "") for r in corpus()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == brute([r[:2] for r in rows])
+    star = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(i, 500 + i) for i in range(1, 90)], "a long, b long")
+    got = {r.id: r.root for r in near_dedup.components(star).collect()}
+    assert len(got) == 289 and set(got.values()) == {0}
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, "a b c d e f", ""), (1, "g h i j k l", ""), (2, "a b c d e f", ""), (3, "g h i j k l", "")]
+    got = {(r.doc_id, r.class_id) for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}

@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 #: Rows per Arrow batch: documents may be long, so batches are kept short.
 BATCH_ROWS = 512
+#: Keys with more than a `HOT`-th of all rows are at most as many: their rows of a lookup table are broadcast. Keys with
+#: fewer than `LEAST` rows are never hot.
+HOT, LEAST = 20_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +76,19 @@ def running_sum(df: DataFrame, groups: list[str], bucket: str, order: list[str],
     return joined.withColumn(out, F.col("_before") + F.sum(value).over(rows)).drop("_before")
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], rows: int, count: str = "n") -> DataFrame:
+    """Inner join of `left`, of at most `rows` rows, with a narrow lookup table that has one row a key and how many rows
+    of `left` have it (`count`). No task gets all rows of a hot key: those keys are few, they are broadcast and their
+    rows stay where they are; only the others are shuffled."""
+    on = [on] if isinstance(on, str) else on
+    limit = max(LEAST, rows // HOT)
+    if rows <= limit:
+        return left.join(right, on)
+    hot = right.where(F.col(count) > limit)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(count) <= limit), on)
+    return left.join(F.broadcast(hot), on).unionByName(cold)
+
+
 def trim() -> None:
     """Gives memory that a task has freed back to the system: Python workers outlive their tasks."""
     import ctypes

@@ -18,8 +18,11 @@ settled. In the others only pairs of different classes are left, less those that
 them, so no link inside a bucket is lost; before that, further rounds with other centres contract classes while what
 is left is more than `LEFT` times the members.
 
-*Verification* counts both texts' shingles exactly, by 64-bit hashes of word runs. Classes are connected components,
-found by large-star and small-star steps over tables.
+*Verification* counts both texts' shingles exactly: hashes only sort words and shingles, those of one hash are compared
+themselves. Classes are connected components, found by large-star and small-star steps over tables.
+
+*Hot keys.* A centre that many members are verified against is met by them in shares of at most `SHARE` members, each
+with its own copy of the text; the hubs of stars are few enough to broadcast (`common.HOT`), the rest is shuffled.
 
 Equal texts are one text throughout, whose documents share a class. Null text: a class of its own. Texts without a
 word link to equal texts only. Rows with one doc_id are one document; a null doc_id has the class null. Empty tables
@@ -28,6 +31,7 @@ give empty ones; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versalake.llm import bpe
-from versalake.llm.common import short_batches, trim, written
+from versalake.llm.common import HOT, join_hot, short_batches, trim, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -46,6 +50,10 @@ MOST_IDS = 1_000_000
 LEFT, ROUNDS = 4, 4
 #: Bytes of text that are hashed at a time: their processes and points are held at once, at some hundred bytes a word.
 SLICE = 1 << 19
+#: Words of more bytes are hashed one by one.
+LONG = 64
+#: Members that meet one copy of a centre's text.
+SHARE = 4096
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -58,53 +66,92 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word and the text that it belongs to."""
+def word_spans(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word starts and ends, and the text that it belongs to."""
     if not len(data):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = (data != 32) & ((data < 9) | (data > 13))
     edge = np.zeros(len(data) + 1, bool)
     edge[begin] = True
     first = inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]]))
     last = inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))
     p, q = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, unpower = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    h = (total[q] - total[p]) * unpower[p] ^ (q - p).astype(np.uint64) * _GOLDEN
-    return _mix(h), np.searchsorted(begin, p, side="right") - 1
-
-
-_POWERS: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((int(_GOLDEN), pow(int(_GOLDEN), -1, 2**64))):
-            one = np.full(size, np.uint64(base), np.uint64)
-            one[0] = 1
-            _POWERS[i] = np.cumprod(one, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return p, q, np.searchsorted(begin, p, side="right") - 1
+
+
+def hash_words(data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[p[i]:q[i]], eight bytes mixed at a time; words of over `LONG` bytes by blake2b."""
+    size = q - p
+    out = _mix(size.astype(np.uint64) + _GOLDEN)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    live = np.flatnonzero(size <= LONG)
+    at = 0
+    while len(live):
+        block = np.ascontiguousarray(eight[p[live] + at]).view("<u8").reshape(-1)
+        rest = np.minimum(size[live] - at, 8).astype(np.uint64)
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8))
+        out[live] = _mix(out[live] ^ _mix(block + _GOLDEN))
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG).tolist()
+    if long:
+        raw = data.tobytes()
+        out[long] = [int.from_bytes(hashlib.blake2b(raw[p[i] : q[i]], digest_size=8).digest(), "little") for i in long]
+    return out
 
 
-def bags(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, multiplicity), sorted by text and shingle."""
-    h, text = word_hashes(data, begin)
+def hash_shingles(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of `SHINGLE` words; 0 stands for no word."""
+    mixed = np.zeros(len(words), np.uint64)
+    for j in range(SHINGLE):
+        mixed += words[:, j] * _ODD[j]
+    return _mix(mixed)
+
+
+def word_codes(data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Numbers from 1 that are equal for equal words alone: words of one hash are compared byte by byte."""
+    _, first, code = np.unique(hash_words(data, p, q), return_index=True, return_inverse=True)
+    code = code.astype(np.int64)
+    same = (q - p)[first[code]] == q - p
+    fine = np.flatnonzero(same)
+    mine, size = bpe.gather(data, np.stack([p[fine], q[fine]], axis=1).reshape(-1), 2 * np.arange(len(fine)))
+    its, _ = bpe.gather(data, np.stack([p[first[code[fine]]], q[first[code[fine]]]], axis=1).reshape(-1), 2 * np.arange(len(fine)))
+    differ = np.flatnonzero(mine != its)
+    if len(differ):
+        same[fine[np.searchsorted(np.cumsum(size), differ, side="right")]] = False
+    if not same.all():
+        raw, named = data.tobytes(), {}
+        for i in np.flatnonzero(~same).tolist():
+            code[i] = named.setdefault(raw[p[i] : q[i]], len(first) + len(named))
+    return code + 1
+
+
+def shingle_codes(words: np.ndarray) -> np.ndarray:
+    """Numbers that are equal for equal rows alone."""
+    _, first, code = np.unique(hash_shingles(words.astype(np.uint64)), return_index=True, return_inverse=True)
+    if (words[first[code]] != words).any():
+        code = np.unique(words, axis=0, return_inverse=True)[1].reshape(-1)
+    return code.astype(np.uint64)
+
+
+def bags(data: np.ndarray, begin: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, multiplicity), sorted by text and shingle. A shingle is its hash, the same in all calls; exact: a
+    number that tells it from all others of this call."""
+    p, q, text = word_spans(data, begin)
     n = np.bincount(text, minlength=len(begin) - 1)
     start = np.cumsum(n) - n
     size = np.where(n >= SHINGLE, n - (SHINGLE - 1), np.minimum(n, 1))
     total = int(size.sum())
     if not total:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    word = word_codes(data, p, q) if exact else hash_words(data, p, q)
     owner = np.repeat(np.arange(len(n)), size)
     at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + start[owner]
-    mixed = np.zeros(total, np.uint64)
-    padded = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
-    for j in range(SHINGLE):
-        # In a text of fewer words the places beyond its end count as nothing.
-        mixed += np.where(j < n[owner], padded[at + j] * _ODD[j], np.uint64(0))
-    shingle = _mix(mixed)
+    padded = np.concatenate([word, np.zeros(SHINGLE, word.dtype)])
+    # In a text of fewer words the places beyond its end count as nothing.
+    rows = np.stack([np.where(j < n[owner], padded[at + j], 0) for j in range(SHINGLE)], axis=1)
+    shingle = shingle_codes(rows) if exact else hash_shingles(rows)
     order = np.lexsort((shingle, owner))
     owner, shingle = owner[order], shingle[order]
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (shingle[1:] != shingle[:-1])])
@@ -168,7 +215,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 def overlap(data: np.ndarray, begin: np.ndarray, pairs: int) -> np.ndarray:
     """Multiset similarity of texts 2i and 2i + 1; 0 where one has no word."""
-    owner, shingle, weight = bags(data, begin)
+    owner, shingle, weight = bags(data, begin, exact=True)
     total = np.bincount(owner, weights=weight, minlength=2 * pairs)
     order = np.lexsort((shingle, owner >> 1))
     owner, shingle, weight = owner[order], shingle[order], weight[order]
@@ -207,8 +254,15 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     few = ids.count() <= MOST_IDS
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
     texts = written(texts, "near-texts")
-    met = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    met = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    degrees = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    # Centres of more members than this are at most HOT, whatever the table.
+    share = max(SHARE, -(-pairs.count() // HOT))
+    parts = degrees.where(F.col("n") > share).select("b", F.ceil(F.col("n") / share).cast("int").alias("parts"))
+    many = F.coalesce("parts", F.lit(1))
+    met = pairs.select("a", "b").join(F.broadcast(parts), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), many).cast("int").alias("part"))
+    centres = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(F.broadcast(parts), "b", "left")
+    centres = centres.select("b", "tb", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
+    met = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(centres, ["b", "part"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,11 +286,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = size(e)
     while state[0]:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both.where("v > u"), low, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "near-large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        rest = join_hot(large, low, "u", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "near-edges")
         now = size(e)
         if now == state:
