@@ -46,7 +46,8 @@ def test_odd_vectors_ties_and_few_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [0.5, 0.5, 0.0]), (2, [0.5, 0.5, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [inf, 0.0, 0.0]), (7, [None, 1.0, 0.0]), (8, [1.0]), (20, [5.0, 0.0, 1.0]), (None, [1.0, 1.0, 1.0]), (9, [])]
     got = grouped(ann.neighbours(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), F.col("id") % 20 == 0))
-    assert got == {0: [(20, 5.0), (1, 0.5), (2, 0.5)], 20: [(0, 5.0), (1, 2.5), (2, 2.5)]}
+    # Vector 8 is shorter: filled up with zeros.
+    assert got == {0: [(20, 5.0), (8, 1.0), (1, 0.5), (2, 0.5)], 20: [(0, 5.0), (8, 5.0), (1, 2.5), (2, 2.5)]}
     assert ann.neighbours(spark.createDataFrame([], SCHEMA), F.col("id") % 20 == 0).count() == 0
     many = [(i, [1.0, 2.0], "x") for i in range(60)]
     got = grouped(ann.neighbours(spark.createDataFrame(many, SCHEMA), F.col("id") % 20 == 0))
@@ -54,8 +55,8 @@ def test_odd_vectors_ties_and_few_rows(spark):
 
 
 def test_blocks_and_groups_split(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 100)
-    monkeypatch.setattr(ann, "QUERIES", 16)
+    monkeypatch.setattr(ann, "BLOCK", 100 * 8 * 8)
+    monkeypatch.setattr(ann, "ASKED", 16)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).tolist(), "x") for i in range(3000)]
     table = spark.createDataFrame(rows, SCHEMA).select("vec_id", "embedding")
@@ -98,3 +99,77 @@ def test_repeated_ids(spark):
     assert got.keys() == want.keys() and all(len({i for i, _ in v}) == 20 for v in got.values())
     assert got[0][0][0] == 301
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+
+
+def clustered(n, dim=64):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(n // 500, dim))
+    x = centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_clustered_vectors_need_few_rows():
+    x = clustered(10_000)
+    ids, k = np.arange(len(x)), 20
+    forest = ann.plant(x, len(x), 1.0)
+    lifted = forest.lifted(x)
+    block, shades, leaves = forest.blocks(lifted), forest.shades(lifted), np.zeros((len(x), ann.TREES), np.int64)
+    forest.cuts, forest.counts = np.zeros((2 ** len(forest.top), ann.TREES, 2**forest.depth - 1), np.float32), np.zeros((2 ** len(forest.top), ann.TREES, 2**forest.depth), np.int64)
+    for b in range(2 ** len(forest.top)):
+        mine = np.flatnonzero(block == b)
+        forest.cuts[b], leaves[mine], forest.counts[b] = ann.split(shades[mine])
+        assert (ann.descend(forest.cuts[b], shades[mine]) == leaves[mine]).all()
+    picked = ids[::100]
+    forest.examine = ann.calibrate(forest, x[picked], [(i, x[w]) for i, (w, _) in enumerate(ann.best(x[picked], ids, x, picked, k))], k, 0.95)
+    asked, hits, seen = ids[7::200], 0, 0
+    for q, (want, _) in zip(asked, ann.best(x[asked], ids, x, asked, k)):
+        mask = np.zeros(len(x), bool)
+        for b, reach in forest.search(x[q]).items():
+            for t in range(ann.TREES):
+                mask |= (block == b) & reach[t][leaves[:, t]]
+        hits, seen = hits + mask[want].sum(), seen + mask.sum()
+    assert hits >= 0.9 * k * len(asked) and seen <= 0.1 * len(x) * len(asked)
+
+
+def test_queue_gives_leaves_by_margin():
+    x = clustered(3000, 8)
+    forest = ann.plant(x, len(x), 1.0)
+    forest.cuts, leaves, counts = (v[None] for v in ann.split(forest.shades(forest.lifted(x))))
+    forest.counts = counts
+
+    def cost(place):
+        block, tree, leaf = place
+        shade, total, node = forest.shades(np.append(x[5], 0.0)[None, :])[0, tree].astype(float), 0.0, 0
+        for level in range(forest.depth):
+            side = leaf >> (forest.depth - 1 - level) & 1
+            margin = shade[level] - forest.cuts[block, tree, node]
+            total += 0.0 if (margin > 0) == side else margin * margin
+            node = 2 * node + 1 + side
+        return total
+
+    order = list(forest.order(x[5]))
+    assert len(order) == len(set(order)) == np.count_nonzero(counts)
+    costs = [cost(p) for p in order]
+    assert costs == sorted(costs)
+
+
+def test_many_equal_vectors_and_short_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 60 * 8 * 4)
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 0.0, 1.0] if i % 3 == 0 else rng.normal(size=4).tolist()) for i in range(1500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = grouped(ann.neighbours(table, F.col("id") % 20 == 0)), brute(rows)
+    assert got.keys() == want.keys()
+    # Many ties: every place must hold a score as good as brute force's, or nearly all of them.
+    near = sum(g[1] >= w[1] - 1e-12 for q in want for g, w in zip(got[q], want[q]))
+    assert near >= 0.9 * sum(map(len, want.values()))
+
+
+def test_extra_columns_and_blocks_of_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCKS", 2)
+    monkeypatch.setattr(ann, "BLOCK", 40 * 8 * 4)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist(), i, i) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int, leaves int")
+    got, want = grouped(ann.neighbours(table, F.col("id") % 20 == 0)), brute([(r.vec_id, r.embedding) for r in table.collect()])
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
