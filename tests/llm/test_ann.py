@@ -120,7 +120,7 @@ def test_clustered_vectors_need_few_rows():
         forest.cuts[b], leaves[mine], forest.counts[b] = ann.split(shades[mine])
         assert (ann.descend(forest.cuts[b], shades[mine]) == leaves[mine]).all()
     picked = ids[::100]
-    forest.examine = ann.calibrate(forest, x[picked], [(i, x[w]) for i, (w, _) in enumerate(ann.best(x[picked], ids, x, picked, k))], k, 0.95)
+    forest.examine = ann.calibrate(forest, x[picked], [(i, block[w], leaves[w]) for i, (w, _) in enumerate(ann.best(x[picked], ids, x, picked, k))], k, 0.95)
     asked, hits, seen = ids[7::200], 0, 0
     for q, (want, _) in zip(asked, ann.best(x[asked], ids, x, asked, k)):
         mask = np.zeros(len(x), bool)

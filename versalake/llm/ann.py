@@ -233,18 +233,16 @@ def descend(cuts: np.ndarray, shades: np.ndarray) -> np.ndarray:
     return out
 
 
-def calibrate(forest: Forest, queries: np.ndarray, found: list[tuple[int, np.ndarray]], k: int, target: float) -> float:
-    """How many rows a query has to examine to meet `target` of the true neighbours. found: the number of a query and the
-    vectors of its true neighbours."""
+def calibrate(forest: Forest, queries: np.ndarray, found: list[tuple[int, np.ndarray, np.ndarray]], k: int, target: float) -> float:
+    """How many rows a query has to examine to meet `target` of the true neighbours. found: the number of a query, and the
+    blocks and leaves (neighbours x trees) of its true neighbours."""
     needs: list[float] = []
-    for q, near in found:
-        rows = forest.lifted(near)
-        blocks, shades = forest.blocks(rows), forest.shades(rows)
+    for q, blocks, leaves in found:
         wanted: dict[tuple[int, int, int], list[int]] = {}
         for i, b in enumerate(blocks.tolist()):
-            for t, leaf in enumerate(descend(forest.cuts[b], shades[i : i + 1])[0].tolist()):
+            for t, leaf in enumerate(leaves[i].tolist()):
                 wanted.setdefault((b, t, leaf), []).append(i)
-        held, left, need = 0, set(range(len(near))), []
+        held, left, need = 0, set(range(len(blocks))), []
         for place in forest.order(queries[q]):
             if not left:
                 break
@@ -326,39 +324,36 @@ def matrix(column, dim: int, single: bool) -> np.ndarray:
     return out
 
 
-def brute(rows: DataFrame, queries: np.ndarray, own: np.ndarray, k: int, dim: int, single: bool) -> list[tuple[int, np.ndarray]]:
-    """The vectors of each query's true k nearest ids among all rows. Each task gives its own k best a query."""
-    shared = rows.sparkSession.sparkContext.broadcast((queries, own))
+def brute(index: DataFrame, queries: np.ndarray, own: np.ndarray, k: int, dim: int, single: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks and leaves of each query's true k nearest ids among all rows. Each task gives its own k best a query."""
+    shared = index.sparkSession.sparkContext.broadcast((queries, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, mine = shared.value
-        top: list[list[tuple[float, int, bytes]]] = [[] for _ in ask]
+        top: list[dict[int, tuple]] = [{} for _ in ask]
         for batch in batches:
-            ids, column = np.asarray(batch.column(0)), batch.column(1)
-            spots = np.arange(len(ids))
-            x = matrix(column, dim, single)
+            ids, x = np.asarray(batch.column(0)), matrix(batch.column(1), dim, single)
             for q, (i, s) in enumerate(best(ask, ids, x, mine, k)):
+                held, least = top[q], min((e[0] for e in top[q].values()), default=-np.inf)
                 for j, score in zip(i.tolist(), s.tolist()):
-                    if len(top[q]) < k or score > top[q][-1][0]:
-                        at = spots[ids == j]
-                        at = at[int(np.argmax(exact(ask[q], x[at])))]
-                        held = {n: (t, n, v) for t, n, v in top[q]}
-                        if j not in held or held[j][0] < score:
-                            held[j] = (score, j, column[int(at)].as_py())
-                        top[q] = sorted(held.values(), key=lambda e: (-e[0], e[1]))[:k]
-        flat = [(q, *e) for q, t in enumerate(top) for e in t]
-        columns = list(zip(*flat)) if flat else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.float64(), pa.int64(), pa.binary()))], ["q", "score", "id", "v"])
-
-    each = rows.select("id", "v").mapInArrow(run, "q int, score double, id long, v binary")
-    once = each.groupBy("q", "id").agg(F.max_by("v", "score").alias("v"), F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+                    if (len(held) < k or score >= least) and (j not in held or held[j][0] < score):
+                        at = np.flatnonzero(ids == j)
+                        at = int(at[np.argmax(exact(ask[q], x[at]))])
+                        held[j] = (score, j, batch.column(2)[at].as_py(), batch.column(3)[at].as_py())
+                top[q] = {e[1]: e for e in sorted(held.values(), key=lambda e: (-e[0], e[1]))[:k]}
+        flat = [(q, *e) for q, t in enumerate(top) for e in t.values()]
+        columns = list(zip(*flat)) if flat else [[]] * 5
+        kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["q", "score", "id", "block", "leaves"])
+
+    each = index.select("id", "v", "block", "leaves").mapInArrow(run, "q int, score double, id long, block int, leaves binary")
+    once = each.groupBy("q", "id").agg(F.max(F.struct("score", "block", "leaves")).alias("e"))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("e.score"), "id"))
     # At most QUERIES x k rows come to the driver.
-    got = once.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "v").collect()
-    out: dict[int, list[bytes]] = {}
-    for r in got:
-        out.setdefault(r.q, []).append(bytes(r.v))
-    return [(q, matrix(pa.array(v, pa.binary()), dim, single)) for q, v in sorted(out.items())]
+    out: dict[int, list] = {}
+    for r in once.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "e.block", "e.leaves").collect():
+        out.setdefault(r.q, []).append((r.block, np.frombuffer(r.leaves, np.int16)))
+    return [(q, np.array([b for b, _ in near]), np.stack([x for _, x in near]).astype(np.int64)) for q, near in sorted(out.items())]
 
 
 def grow(rows: DataFrame, n: int, dim: int, single: bool, norm: float, k: int, recall: float) -> tuple[Forest, DataFrame]:
