@@ -147,7 +147,7 @@ def test_queue_gives_leaves_by_margin():
             node = 2 * node + 1 + side
         return total
 
-    order = list(forest.order(x[5]))
+    order = [tuple(p) for places in forest.order(x[5]) for p in places.tolist()]
     assert len(order) == len(set(order)) == np.count_nonzero(counts)
     costs = [cost(p) for p in order]
     assert costs == sorted(costs)

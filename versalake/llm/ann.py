@@ -113,51 +113,57 @@ class Forest:
         flat = projected(rows, self.ways.reshape(-1, self.ways.shape[2]))
         return flat.astype(np.float32).reshape(len(rows), len(self.ways), self.depth)
 
-    def order(self, query: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(block, tree, leaf) that hold rows, in the order of the shared queue."""
+    def leaf_costs(self, block: int, cost: float, shade: np.ndarray) -> np.ndarray:
+        """trees x leaves: the summed squared margins from a query to each leaf of a block."""
+        costs = np.full((len(self.ways), 1), cost)
+        for depth in range(self.depth):
+            margin = shade[:, depth, None] - self.cuts[block][:, 2**depth - 1 : 2 ** (depth + 1) - 1]
+            below = np.empty((len(costs), 2 * costs.shape[1]))
+            np.add(costs, np.square(np.maximum(margin, 0)), out=below[:, 0::2])
+            np.add(costs, np.square(np.minimum(margin, 0)), out=below[:, 1::2])
+            costs = below
+        return costs
+
+    def order(self, query: np.ndarray) -> Iterator[np.ndarray]:
+        """(block, tree, leaf) that hold rows, in the order of the shared queue, some at a time."""
         lifted = np.concatenate([query, [0.0]])[None, :]
         top = projected(lifted, self.top)[0].tolist()
         shade = self.shades(lifted)[0].astype(np.float64)
         first = len(self.top_cuts)
         queue: list[tuple] = [(0.0, 0, 0)]
-        pool: list[np.ndarray] = []
-        while queue or pool:
-            while queue:
-                cost, level, node = heapq.heappop(queue)
-                if node >= first:
-                    block = node - first
-                    costs = np.full((len(self.ways), 1), cost)
-                    for depth in range(self.depth):
-                        margin = shade[:, depth, None] - self.cuts[block][:, 2**depth - 1 : 2 ** (depth + 1) - 1]
-                        far = margin * margin
-                        costs = np.stack([costs + np.where(margin > 0, far, 0.0), costs + np.where(margin > 0, 0.0, far)], axis=2).reshape(len(costs), -1)
-                    held = np.nonzero(self.counts[block])
-                    pool.append(np.column_stack([costs[held], np.full(len(held[0]), block), *held]))
-                    break
+        costs, places = np.empty(0), np.empty((0, 3), np.int64)
+        while queue:
+            cost, level, node = heapq.heappop(queue)
+            if node < first:
                 margin = top[level] - self.top_cuts[node]
                 near = 2 * node + 1 + (margin > 0)
                 heapq.heappush(queue, (cost, level + 1, near))
                 heapq.heappush(queue, (cost + margin * margin, level + 1, 4 * node + 3 - near))
-            # Leaves that no node in the queue can come before are in their final order.
-            limit = queue[0][0] if queue else np.inf
-            known = np.concatenate(pool)
-            out = known[:, 0] <= limit
-            ready = known[out]
-            for _, *place in ready[np.lexsort(ready.T[::-1])].tolist():
-                yield tuple(map(int, place))
-            pool = [known[~out]] if not out.all() else []
+                continue
+            # The block's leaves enter the queue; those that no node in it can come before are in their final order.
+            held = np.nonzero(self.counts[node - first])
+            mine = np.column_stack([np.full(len(held[0]), node - first), *held])
+            costs, places = np.concatenate([costs, self.leaf_costs(node - first, cost, shade)[held]]), np.concatenate([places, mine])
+            out = costs <= queue[0][0] if queue else np.ones(len(costs), bool)
+            ready, known = places[out], costs[out]
+            costs, places = costs[~out], places[~out]
+            if len(ready):
+                yield ready[np.lexsort((ready[:, 2], ready[:, 1], ready[:, 0], known))]
 
     def search(self, query: np.ndarray) -> dict[int, np.ndarray]:
         """For each block that the query asks: trees x leaves, true for those that it examines."""
         asked: dict[int, np.ndarray] = {}
         held = 0
-        for block, tree, leaf in self.order(query):
+        for places in self.order(query):
+            sums = held + np.cumsum(self.counts[tuple(places.T)])
+            places = places[: np.searchsorted(sums, self.examine) + 1]
+            for block in np.unique(places[:, 0]).tolist():
+                mine = places[places[:, 0] == block]
+                reach = asked.setdefault(block, np.zeros((len(self.ways), 2**self.depth), bool))
+                reach[mine[:, 1], mine[:, 2]] = True
+            held = int(sums[-1])
             if held >= self.examine:
                 break
-            if block not in asked:
-                asked[block] = np.zeros((len(self.ways), 2**self.depth), bool)
-            asked[block][tree, leaf] = True
-            held += self.counts[block, tree, leaf]
         return asked
 
 
@@ -238,20 +244,18 @@ def calibrate(forest: Forest, queries: np.ndarray, found: list[tuple[int, np.nda
     blocks and leaves (neighbours x trees) of its true neighbours."""
     needs: list[float] = []
     for q, blocks, leaves in found:
-        wanted: dict[tuple[int, int, int], list[int]] = {}
-        for i, b in enumerate(blocks.tolist()):
-            for t, leaf in enumerate(leaves[i].tolist()):
-                wanted.setdefault((b, t, leaf), []).append(i)
-        held, left, need = 0, set(range(len(blocks))), []
-        for place in forest.order(queries[q]):
-            if not left:
+        key = (blocks[:, None] * len(forest.ways) + np.arange(len(forest.ways))) * 2**forest.depth + leaves
+        held, need = 0, np.full(len(blocks), np.inf)
+        for places in forest.order(queries[q]):
+            sums = held + np.cumsum(forest.counts[tuple(places.T)])
+            met = (places[:, 0] * len(forest.ways) + places[:, 1]) * 2**forest.depth + places[:, 2]
+            by = np.argsort(met)
+            at = np.minimum(np.searchsorted(met[by], key), len(met) - 1)
+            need = np.minimum(need, np.where(met[by][at] == key, sums[by][at], np.inf).min(axis=1))
+            held = int(sums[-1])
+            if np.isfinite(need).all():
                 break
-            held += int(forest.counts[place])
-            for i in wanted.get(place, ()):
-                if i in left:
-                    left.discard(i)
-                    need.append(float(held))
-        needs += need + [np.inf] * len(left)
+        needs += need.tolist()
     least = (k + 1) * len(forest.ways)  # a row comes out once a tree at most: so many hold k others
     return max(least, float(np.quantile(needs, target, method="higher"))) if needs else float(least)
 
