@@ -52,9 +52,37 @@ def test_repeated_rows(spark):
 def test_runs_are_levelled(spark, tmp_path):
     runs = line_dedup.LineRuns(spark, str(tmp_path), fanout=3)
     for b in range(7):
-        runs.add(spark.createDataFrame([(k, k, 1, b) for k in range(b, b + 4)], "h1 long, h2 long, n_docs long, last long"))
-    assert [len(x) for x in runs.levels] == [1, 2]
-    assert {r.h1: (r.n_docs, r.last) for r in runs.totals().collect()} == {k: (len(h), max(h)) for k in range(10) if (h := [b for b in range(7) if b <= k < b + 4])}
-    last = spark.read.parquet(runs.levels[0][-1])
-    assert {r.h1 for r in last.where("fresh").collect()} == {9}
-    assert runs.totals().where(F.col("h1") == 3).count() == 1
+        rows = [(k, k, 1, 2, b) for k in range(b, b + 4)]
+        new = runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n_docs long, n_lines long, last long"))
+        assert {r.h1 for r in spark.table(new).collect()} == (set(range(4)) if b == 0 else {b + 3})
+    assert [len(x) for x in runs.levels] == [1, 2] and [len(x) for x in runs.updates] == [0, 2]
+    keys = [r.h1 for level in runs.levels for t in level for r in spark.table(t).collect()]
+    assert sorted(keys) == list(range(10))
+    want = {k: (len(h), 2 * len(h), max(h)) for k in range(10) if (h := [b for b in range(7) if b <= k < b + 4])}
+    assert {r.h1: (r.n_docs, r.n_lines, r.last) for r in runs.totals().collect()} == want
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_stored_runs_are_not_shuffled_or_sorted(spark):
+    keys = line_dedup.keyed(spark.createDataFrame(corpus(), SCHEMA))
+    runs = line_dedup.build(keys, fanout=9)
+    earlier = runs._all(runs.levels)
+    batch = runs._all([[runs.made[1]]])[0].select("h1", "h2")
+    with line_dedup.settings(spark, line_dedup.SORTED | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        for plan in (runs.met(), earlier[0].join(earlier[1].select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), batch):
+            said = plan._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in said and "Sort [" not in said, said
+    runs.close()
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_hot_lines_and_clashing_names(spark, monkeypatch):
+    from versalake.llm import common
+
+    monkeypatch.setattr(common, "LEAST", 4)
+    rows = [(*r[:2], "x", "clash") for r in corpus()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, lines string")
+    got = line_dedup.dedup(docs.withColumns({"id": F.lit(1), "hash": F.lit(2), "own": F.lit(3), "kept": F.lit(4)}))
+    assert got.columns == ["doc_id", "text", "gone", "lines", "id", "hash", "own", "kept", "n_lines", "n_dropped"]
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in got.collect()} == brute(rows)

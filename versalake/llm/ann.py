@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versalake.llm.common import partitions, short_batches, trim, written
+from versalake.llm.common import discard, partitions, short_batches, trim, written
 
 TREES, LEAF, RECALL, QUERIES, SEED = 4, 32, 0.95, 96, 11
 #: Bytes of a block's vectors in double precision, of the sample, and the most blocks.
@@ -439,7 +439,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "ve
     spark = vectors.sparkSession
     out = f"query_id long, rank int, {id_} long, score double"
     single = isinstance(vectors.schema[vector].dataType.elementType, T.FloatType)
-    rows = written(prepare(vectors, id_, vector), "ann-rows")
+    rows = first = written(prepare(vectors, id_, vector), "ann-rows")
     totals = [F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max("n2").alias("n2"), F.max("size").alias("dim")]
     stat = rows.agg(*totals).first()
     if not stat.n:
@@ -449,6 +449,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "ve
         rows = written(rows.dropDuplicates(["id", "v"]), "ann-rows")
         stat = rows.agg(*totals).first()
     forest, index = grow(rows, stat.n, stat.dim, single, float(np.sqrt(stat.n2)), k, recall)
+    discard(first, rows)  # the index holds all of it
     found = search(forest, index, index.where(is_query).select("id", "v"), k, stat.dim, single)
     if repeated:
         # An id with many rows may fill all that a query examines: queries with too few ids examine everything.

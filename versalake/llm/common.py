@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,14 +25,16 @@ HOT, LEAST = 20_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`; one of our own only where that is unset."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Where that is unset, a folder of this machine in local
+    mode, as in tests; on a cluster it must be named."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if at is None and context.getCheckpointDir().isDefined():
         at = context.getCheckpointDir().get()
     if at is None:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="versalake-")
-    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at if ":" in at.split("/")[0] else f"file://{at}" if at.startswith("/") else at
 
@@ -43,16 +48,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends there and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Deletes what `written` or `scratch` made and nothing needs any more."""
+    for table in tables:
+        path = table if isinstance(table, str) else getattr(table, "_scratch", None)
+        if path:
+            session = spark or table.sparkSession
+            at = session._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Before Python work: keeps Arrow batches short, so that very long documents don't fill a worker, and lets
-    workers import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Before Python work: keeps Arrow batches short, so that very long documents don't fill a worker, and lets workers
+    import this package. Plans are lazy, so the setting stays for the session; shorter ones are left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     ship(spark)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is run inside; then they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,25 +1,31 @@
 """Line dedup (operator 8): levelled sorted runs of line hashes.
 
-A run is a table of line keys (two independent 64-bit hashes), sorted by them, with the number of documents that hold
-the line and the largest doc_id among them. Each new batch merge-joins the runs: keys that no run has are marked
-fresh, then the batch's keys become a run of level 0. When a level has `fanout` runs, they are merged into one of the
-next level. Totals over all runs decide: a line found in `min_docs` documents stays in the largest doc_id only.
+A run is a table of line keys (two independent 64-bit hashes), bucketed and sorted by them. Each new batch
+merge-anti-joins all runs: its keys that no run has become a run of level 0, with the number of documents and of lines
+that hold them and the largest doc_id; its other keys become an *update* to a run's. So runs never share a key. When a
+level has `fanout` runs (or updates), they are merged into one of the next level. Runs and updates meet bucket by bucket,
+in order: nothing that is stored is shuffled or sorted again. A key without an update stands as its run has it; the others
+add up. A line found in `min_docs` documents stays in the largest doc_id only.
 
 A line's key is the line without blanks at its ends, A-Z lower-cased; keys of under `min_chars` code points are never
 dropped. Rows with one doc_id are one document. A null or empty text is one empty line; the kept text is then empty.
 A null doc_id counts as a document smaller than all others. Columns n_lines and n_dropped are replaced, all others
-are kept. Empty tables give empty ones.
+are kept. Empty tables give empty ones. Lines that very many documents share are few (`common.HOT`): they are broadcast
+to where they lie, only the others are shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versalake.llm.common import BLANKS, partitions, scratch, written
+from versalake.llm.common import BLANKS, discard, join_hot, partitions, scratch, settings, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 4
+MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 
 
 def lines(text: Column) -> Column:
@@ -34,90 +40,135 @@ def keyed(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return cut.select("doc_id", "text_hash", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
+COLUMNS = ["h1", "h2", "n_docs", "n_lines", "last"]
+#: Lets Spark see that all these tables are bucketed, and sorted within buckets as they were written, one file each.
+SORTED = {
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.unionOutputPartitioning": "false",
+}
+
+
 class LineRuns:
-    """Levelled sorted runs in a folder of the shared file system."""
+    """Levelled runs and updates in a folder of the shared file system. Their tables are in the session's catalog; `close`
+    drops them and deletes the files."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path, fanout
         self.levels: list[list[str]] = [[]]
-        self.made = 0
-
-    def _write(self, run: DataFrame) -> str:
-        path = f"{self.path}/run-{self.made:06d}"
-        self.made += 1
-        run.repartition(partitions(self.spark), "h1", "h2").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
-
-    def runs(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+        self.updates: list[list[str]] = [[]]
+        self.name, self.made = f"line_runs_{uuid.uuid4().hex}", []
+        self.buckets = min(partitions(spark), 100_000)
+
+    def store(self, rows: DataFrame) -> str:
+        """Writes `rows` bucketed and sorted by (h1, h2); the name of its table."""
+        table = f"{self.name}_{len(self.made)}"
+        writer = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        with settings(self.spark, SORTED):
+            writer.format("parquet").option("path", f"{self.path}/{len(self.made):06d}").saveAsTable(table)
+        self.made.append(table)
+        return table
+
+    def _all(self, levels: list[list[str]]) -> list[DataFrame]:
+        return [self.spark.table(t).select(*COLUMNS) for level in levels for t in level]
 
     def add(self, batch: DataFrame) -> str:
-        """Adds a batch of (h1, h2, n_docs, last); the run's `fresh` says which keys no earlier run has. Batches
-        hold different documents."""
-        known = self.runs()
-        if known is None:
-            run = batch.withColumn("fresh", F.lit(True))
-        else:
-            # The merge-anti-join: fresh keys are those without a partner in the runs.
-            met = known.select("h1", "h2").distinct().withColumn("met", F.lit(True)).hint("merge")
-            run = batch.join(met, ["h1", "h2"], "left").withColumn("fresh", F.col("met").isNull()).drop("met")
-        path = self._write(run.select("h1", "h2", "n_docs", "last", "fresh"))
-        self.levels[0].append(path)
-        self._compact()
-        return path
-
-    def _compact(self) -> None:
-        for i, level in enumerate(self.levels):
+        """Adds a batch of (h1, h2, n_docs, n_lines, last), a row per key; it is stored unless it is bucketed already.
+        Batches hold different documents. Gives the table of the keys that are new."""
+        fresh = batch.select(*COLUMNS)
+        earlier = self._all(self.levels)
+        for run in earlier:
+            fresh = fresh.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        table = self.store(fresh)
+        if earlier:
+            known = batch.select(*COLUMNS).join(self.spark.table(table).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            self.updates[0].append(self.store(known))
+            self._compact(self.updates)
+        self.levels[0].append(table)
+        self._compact(self.levels)
+        return table
+
+    def _compact(self, levels: list[list[str]]) -> None:
+        for i, level in enumerate(levels):
             if len(level) >= self.fanout:
-                merged = self._totals(self.spark.read.parquet(*level)).withColumn("fresh", F.lit(True))
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(self._write(merged))
+                if i + 1 == len(levels):
+                    levels.append([])
+                levels[i + 1].append(reduce(self._merge, level))
                 level.clear()
 
-    @staticmethod
-    def _totals(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
-
-    def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, last) over all batches."""
-        if sum(map(len, self.levels)) == 1:
-            return self.runs().drop("fresh")
-        return self._totals(self.runs())
+    def _merge(self, one: str, two: str) -> str:
+        """Two tables as one, by a merge join of their buckets; what both have adds up. (Never by grouping a union: of
+        bucketed tables Spark 4.1 takes it for partitioned by key, which it isn't.)"""
+        names = {c: f"_{c}" for c in COLUMNS[2:]}
+        met = self.spark.table(one).join(self.spark.table(two).withColumnsRenamed(names).hint("merge"), ["h1", "h2"], "full_outer")
+        sums = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("n_docs", "n_lines")]
+        return self.store(met.select("h1", "h2", *sums, F.greatest("last", "_last").alias("last")))
+
+    def totals(self, min_docs: int = 1) -> DataFrame:
+        """(h1, h2, n_docs, n_lines, last) over all batches, of the keys that `min_docs` documents hold; written."""
+        with settings(self.spark, SORTED):
+            return written(self.met().where(F.col("n_docs") >= min_docs), "line-totals")
+
+    def met(self) -> DataFrame:
+        """The plan of `totals`: runs and updates, bucket by bucket. It needs the settings `SORTED`."""
+        out = []
+        for run in self._all(self.levels):
+            # No key is in two runs, so each run takes its updates by itself.
+            for i, more in enumerate(self._all(self.updates)):
+                more = more.select("h1", "h2", *(F.col(c).alias(f"{c}_{i}") for c in COLUMNS[2:])).hint("merge")
+                run = run.join(more, ["h1", "h2"], "left")
+                added = [(F.col(c) + F.coalesce(f"{c}_{i}", F.lit(0))).alias(c) for c in ("n_docs", "n_lines")]
+                run = run.select("h1", "h2", *added, F.greatest("last", f"last_{i}").alias("last"))
+            out.append(run)
+        return reduce(DataFrame.union, out)
+
+    def close(self) -> None:
+        for table in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        discard(self.path, spark=self.spark)
 
 
 def build(keys: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> LineRuns:
-    """The runs of a table of keys, in `batches` batches of documents."""
+    """The runs of a table of keys, in `batches` batches of documents. All batches are counted in one shuffle of sums a
+    key and task, after one of distinct (key, doc_id), and lie in one bucketed table."""
     spark = keys.sparkSession
     runs = LineRuns(spark, scratch(spark, "line-runs"), fanout)
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    each = keys.groupBy("h1", "h2", batch.alias("batch"), "doc_id").agg(F.lit(1).alias("_one"))
-    each = each.groupBy("batch", "h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))
-    at = scratch(spark, "line-batches")
-    each.write.partitionBy("batch").parquet(at)
+    each = keys.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    sums = []
+    for i in range(batches):
+        mine = F.col("batch") == i
+        sums += [F.count_if(mine).alias(f"n_docs_{i}"), F.sum(F.when(mine, F.col("n"))).alias(f"n_lines_{i}"), F.max(F.when(mine, F.col("doc_id"))).alias(f"last_{i}")]
+    table = spark.table(runs.store(each.groupBy("h1", "h2").agg(*sums)))
     for i in range(batches):
-        runs.add(spark.read.schema(each.schema).parquet(at).where(F.col("batch") == i).drop("batch"))
+        runs.add(table.where(F.col(f"n_docs_{i}") > 0).select("h1", "h2", *(F.col(f"{c}_{i}").alias(c) for c in COLUMNS[2:])))
     return runs
 
 
+def common_lines(keys: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, n_docs, n_lines, last) of the keys that `min_docs` documents hold."""
+    runs = build(keys)
+    try:
+        return runs.totals(min_docs)
+    finally:
+        runs.close()
+
+
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """`docs` with the kept lines as `text`, plus n_lines (before) and n_dropped."""
     keys = written(keyed(docs, min_chars), "line-keys")
-    common = build(keys).totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "last")
-    gone = keys.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
-    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list("pos").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    met = docs.select(*names, F.xxhash64("text").alias("_own")).join(
-        gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left"
-    )
-    met = met.withColumn("_lines", lines(F.col("text")))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n")
-    met = met.withColumn("_kept", F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(text))
-    size = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_lines") - F.size(kept))
-    columns = [F.col("_kept").alias(c) if c == "text" else F.col(c) for c in names]
-    return met.select(*columns, F.size("_lines").cast("long").alias("n_lines"), size.cast("long").alias("n_dropped"))
+    common = common_lines(keys, min_docs)
+    met = join_hot(keys, common, ["h1", "h2"], keys.count(), "n_lines").where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    gone = met.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list("pos").alias("gone"))
+    # Columns of the input stay in a struct, so that none clashes with the names here.
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("own"))
+    on = F.col("doc.doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
+    rows = rows.join(gone.hint("shuffle_hash"), on, "left").withColumn("lines", lines(F.col("doc.text")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.array_join(F.transform(kept, lambda i: F.element_at("lines", i + 1)), "\n")
+    rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.coalesce("doc.text", F.lit(""))).otherwise(text))
+    size = F.when(F.col("gone").isNull(), 0).otherwise(F.size("lines") - F.size(kept))
+    columns = [F.col("kept").alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*columns, F.size("lines").cast("long").alias("n_lines"), size.cast("long").alias("n_dropped"))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from versalake.llm import bpe
-from versalake.llm.common import HOT, join_hot, short_batches, trim, written
+from versalake.llm.common import HOT, discard, join_hot, short_batches, trim, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -275,7 +275,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["a", "b", "s"])
         trim()
 
-    return written(met.mapInArrow(run, "a long, b long, s double"), "near-similar")
+    found = written(met.mapInArrow(run, "a long, b long, s double"), "near-similar")
+    discard(ids, texts)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,8 +293,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large, "near-large")
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         rest = join_hot(large, low, "u", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "near-edges")
+        before, e = e, written(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "near-edges")
         now = size(e)
+        discard(before, large)
         if now == state:
             break
         state = now
@@ -316,17 +319,22 @@ def classes(docs: DataFrame) -> DataFrame:
         left = _unsettled(members, root, checked)
         sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if not sizes[0]:
+            discard(left)
             break
         last = sizes[1] <= LEFT * sizes[0] or turn == ROUNDS
         pairs = _across(left) if last else _stars(left, turn)
         pairs = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
         found = verify(pairs, docs)
-        done = written(done.union(found), "near-done")
+        before, done = done, written(done.union(found), "near-done")
+        discard(left, pairs, *([] if before is checked else [before]))
         near = done.where(F.col("s") >= SIMILAR)
         if found.where(F.col("s") >= SIMILAR).limit(1).count():
-            root = written(components(near), "near-roots")
+            before, root = root, written(components(near), "near-roots")
+            discard(before)
+        discard(found)
         if last:
             break
+    discard(members, checked, *([] if done is checked else [done]))
     own = every.select("doc_id", "h1", "h2").join(stands, ["h1", "h2"])
     own = own.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = docs.where("doc_id IS NULL OR text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
