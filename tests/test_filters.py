@@ -7,7 +7,8 @@ from versalake import errors as E
 from versalake.functions.expr import compile_expression, compile_value, validate
 from versalake.functions.text import PLAIN, Analyser
 from versalake.operators import positions as pos
-from versalake.operators.filter import filter_rows, filter_vectorized, java_pattern
+from versalake.functions.patterns import java
+from versalake.operators.filter import filter_rows, filter_vectorized
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +46,7 @@ def test_negation_and_fold(mixed):
     assert at(filter_vectorized(mixed, [("test2", ">", 5.1)])) == [6, 7]
     assert at(filter_vectorized(mixed, [("test3", "==", True)])) == [0, 1, 2, 3, 6]
     assert at(filter_vectorized(mixed, [("test1", "==", "A0"), ("test1", "==", "B0"), ("test2", "<", 3)], ["OR", "AND"])) == [0]
-    assert java_pattern(re.compile("x", re.I | re.S)) == ("(?is)x", True)
+    assert java(re.compile("x", re.I | re.S)) == "(?udis)x" and java(re.compile(r"(a)?(?(1)b|c)")) is None
 
 
 BAD = [
@@ -163,3 +164,30 @@ def test_positions(spark):
         assert list(range(100))[a][b] == list(range(100))[s]
     with pytest.raises(IndexError):
         pos.compose(slice(-1, None), slice(0, 1))
+
+
+TEXTS = ["café", "٣ kg", "ÉCOLE 5", "école", "naïve_x", "日本 語", "a\nb", "a\r", "x{,}y", "a}b]c", "one two", "Straße", "½ cup", "नमस्ते", "A&&B", "tab\there", "\x1cfs", "line\u2028sep", "k\u212a", "\u017fs", "İi", "🙂 ok", "", "aaa", "foo.bar", "-^[]", "v\x0bt", "end\n"]
+PATTERNS = [r"^\w+$", r"\d", r"\d+ kg", r"\bok\b", r"\B", r"^\S+$", r"\W", r"[\w-]+_", r"[^\w]", r"[^\W\d_]{5}", r"\s$", r"a.b", r"(?s)a.b", r"a$", r"b\Z", r"(?m)^b", r"end$", r"x{,}y", r"a{,2}b", r"a{2}", r"a{2,}", r"x\{", r"[]]", r"[^]a]", r"[&&]", r"[\[\]^-]", r"(?i)école", r"(?i)ECOLE", r"(?i)k$", r"(?i)ss?", r"(?i)i", r"(?i)[a-c]+&", r"(?P<q_1>a)(?P=q_1)", r"(a)\1", r"(?#note)two", r"(?<=one )two", r"(?<!one )two", r"(?>a+)b", r"a++", r"\x41", r"\u00e9", r"\U0001F642", r"[\U0001F600-\U0001F650]", r"\.", r"[.]", r"\v", r"\t", r"(?:caf|na)", r"(?a:\w+)é", r"\A\w", r"(a)?(?(1)b|c)", r"one|two", r"}", r"^$", r"#", r"(?x) o n e ", r"[\s\d]", r"(?i:É)COLE", r"\-", r"[a\]]"]
+
+
+def test_patterns_are_pythons(spark):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "_pos long, t string").cache()
+    for pattern in PATTERNS:
+        assert at(filter_vectorized(rows, [("t", "LIKE", pattern)])) == [i for i, t in enumerate(TEXTS) if re.search(pattern, t)], pattern
+    assert sum(java(p) is not None for p in PATTERNS) >= 50  # most never leave Java
+    for bad in ("(", "[a", "*"):
+        with pytest.raises(E.InvalidCondition):
+            filter_vectorized(rows, [("t", "LIKE", bad)])
+
+
+def test_random_patterns(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = ["a", "é", "日", "٣", " ", "\n", "_", "½", "-", "]", "K", "ſ", "👍", "\u0301"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 8))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_pos long, t string").cache()
+    atoms = [r"\w", r"\W", r"\d", r"\s", r"\b", ".", "^", "$", "a", "é", "日", r"[\w]", r"[^\s]", r"[\W_]", "_", r"[é-日]", "(?:a|_)"]
+    for _ in range(60):
+        pattern = "".join(x + (rng.choice(["", "", "*", "+", "?", "{1,2}"]) if x not in (r"\b", "^", "$") else "") for x in rng.choices(atoms, k=rng.randint(1, 4)))
+        assert at(filter_vectorized(rows, [("t", "LIKE", pattern)])) == [i for i, t in enumerate(texts) if re.search(pattern, t)], pattern

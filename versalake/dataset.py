@@ -27,6 +27,7 @@ from versalake.operators import filter as flt
 from versalake.operators.ivf import VectorIndex
 from versalake.operators.positions import POS, number, resolve, take_list, take_slice
 from versalake.operators.text_index import TextIndex
+from versalake.operators.value_index import ValueIndex
 from versalake.store import diff as dif
 from versalake.store import snapshot as snap
 from versalake.store.log import FIRST, MAIN, Commit, Log
@@ -690,7 +691,10 @@ class Dataset:
         return view
 
     def filter_vectorized(self, condition_list: Sequence[tuple], connector_list: Sequence[str] | None = None, offset: int = 0, limit: int | None = None, analyser: Analyser | None = None, **_) -> Dataset:
-        view = self._tied(flt.filter_vectorized(self.frame(), condition_list, connector_list, offset, limit, analyser, POS))
+        rows = self.frame()
+        flt.check(condition_list, connector_list, rows.schema)
+        found = {i: hit for i, c in enumerate(condition_list) if (hit := self._looked_up(tuple(c), analyser)) is not None}
+        view = self._tied(flt.filter_vectorized(rows, condition_list, connector_list, offset, limit, analyser, POS, found))
         view.query_string = json.dumps([condition_list, connector_list], default=str)
         return view
 
@@ -699,9 +703,12 @@ class Dataset:
 
     def query(self, tensor_name: str, query) -> set[int]:
         """Positions that an index finds: all words of a text, or a value."""
-        text = self.column(tensor_name).htype == "text" and self._text_index_path(tensor_name)
-        if text and self.log.files.exists(f"{text}/meta.json"):
-            return {r[0] for r in TextIndex(self.spark, text).load().complex_search(query).collect()}
+        index = self._index(tensor_name)
+        if isinstance(index, TextIndex):
+            return {r[0] for r in index.complex_search(query).collect()}
+        if isinstance(index, ValueIndex):
+            found = index.between(*query) if isinstance(query, (list, tuple)) else index.equal(query)
+            return {r[0] for r in found.collect()}
         op = "CONTAINS" if self.column(tensor_name).htype == "text" else "=="
         return set(self.filter_vectorized([(tensor_name, op, query, True)]).sample_indices)
 
@@ -728,9 +735,11 @@ class Dataset:
     def _vector_index_path(self, column: str, name: str) -> str:
         return f"{self.path}/indexes/vector/{self.column(column).key}/{name}"
 
-    def create_index_vectorized(self, column: str, index_type: str = "fuzzy_match", force_create: bool = False, analyser: Analyser | None = None, shards: int = 16, **_) -> TextIndex | None:
-        """Builds or updates the inverted index of a column. Only committed rows are indexed: with uncommitted
-        changes nothing is done. After appends only new rows are added; after updates or pops it is built anew."""
+    def create_index_vectorized(self, column: str, index_type: str | None = None, force_create: bool = False, analyser: Analyser | None = None, shards: int = 16, **_) -> TextIndex | ValueIndex | None:
+        """Builds or updates the index of a column: an inverted one of texts (`fuzzy_match`, their default: words;
+        `exact_match`: whole values), else one of values in order (`value`, for equality and ranges). Only committed rows
+        are indexed: with uncommitted changes nothing is done. After appends only new rows are added; after updates or
+        pops it is built anew."""
         if self.has_head_changes:
             import warnings
 
@@ -738,22 +747,58 @@ class Dataset:
             return None
         path = self._text_index_path(column)
         rows = self.frame().select(POS, F.col(f"`{column}`").alias("value"))
-        index = TextIndex(self.spark, path)
-        if not force_create and self.log.files.exists(f"{path}/meta.json"):
-            index.load()
+        index = None if force_create else self._index(column)
+        if index is not None and index_type in (None, index.meta["kind"]):
             since = self._steps_since(index.meta["commit"])
             if since is not None and all(s["kind"] == "append" for s in since):
                 if since:
                     start = self._count() - sum(s["rows"] for s in since)
                     index.append(rows.where(F.col(POS) >= start), self.commit_id)
                 return index
-            analyser, shards = analyser or index.analyser, index.meta["shards"]
-        return TextIndex.create(rows, path, "value", POS, index_type, analyser, shards, self.commit_id)
+            index_type = index.meta["kind"]
+            if isinstance(index, TextIndex):
+                analyser, shards = analyser or index.analyser, index.meta["shards"]
+        kind = index_type or ("fuzzy_match" if isinstance(rows.schema["value"].dataType, T.StringType) else "value")
+        if kind == "value":
+            return ValueIndex.create(rows, path, "value", POS, self.commit_id)
+        return TextIndex.create(rows, path, "value", POS, kind, analyser, shards, self.commit_id)
+
+    def _index(self, column: str) -> TextIndex | ValueIndex | None:
+        """The column's index, if there is one."""
+        path = self._text_index_path(column)
+        if not self.log.files.exists(f"{path}/meta.json"):
+            return None
+        index = TextIndex(self.spark, path).load()
+        return ValueIndex(self.spark, path).load() if index.meta["kind"] == "value" else index
+
+    def _looked_up(self, condition: tuple, analyser: Analyser | None) -> DataFrame | None:
+        """The positions (`pos`) of a condition by the column's index; None where the rows must be read instead: there is
+        no index of that kind, or it isn't that of the rows at hand."""
+        name, op, value, use = (*condition, False)[:4]
+        if not use or self._view is not None or self.has_head_changes or op not in ("==", "BETWEEN", "CONTAINS"):
+            return None
+        index = self._index(name)
+        if index is None or index.meta["commit"] != self.commit_id:
+            return None
+        if isinstance(index, ValueIndex):
+            names = self.column(name).info.get("class_names")
+            if op == "==" and names is not None and isinstance(value, str):
+                value = names.index(value) if value in names else -1
+            return index.equal(value) if op == "==" else index.between(*value) if op == "BETWEEN" else None
+        if index.meta["kind"] == "exact_match":
+            return index.search(value) if op == "==" else None
+        if op != "CONTAINS" or (analyser or Analyser()) != index.analyser:
+            return None
+        # CONTAINS with no token at all finds nothing, as without an index.
+        return index.complex_search(value)
 
     create_index = create_index_vectorized
 
-    def get_inverted_index(self, column: str) -> TextIndex:
-        return TextIndex(self.spark, self._text_index_path(column)).load()
+    def get_inverted_index(self, column: str) -> TextIndex | ValueIndex:
+        index = self._index(column)
+        if index is None:
+            raise E.IndexMissing(column)
+        return index
 
     def optimize_index(self, column: str) -> None:
         self.get_inverted_index(column).optimize()
@@ -1029,7 +1074,9 @@ class Dataset:
                 renames.setdefault("original", {})[was] = now
         b, o, t = base._by_key(), self._by_key(), theirs._by_key()
         keys = [k for k in old if k in mine and k in other]
-        plan = Plan(b, o, t, keys, self._new_path("delta"))
+        sides = [{c.key: c for c in d._all_columns()} for d in (base, self, theirs)]
+        labels = _joint_names(*sides)
+        plan = Plan(*(_relabelled(df, columns, labels) for df, columns in zip((b, o, t), sides)), keys, self._new_path("delta"))
         at = lambda df, ids: [r[0] for r in df.join(ids, UUID, "left_semi").orderBy(POS).select(POS).collect()]
         rows = {"del_ori_idx": at(b, plan.gone_ours), "del_tar_idx": at(b, plan.gone_theirs), "app_ori_idx": at(o, plan.new_ours), "app_tar_idx": at(t, plan.new_theirs)}
         records = {}
@@ -1061,7 +1108,12 @@ class Dataset:
         old, mine, other = ({c.key: c for c in d._all_columns()} for d in (base, self, theirs))
         self._twins: list[tuple[str, str]] = []
         columns = self._merged_columns(old, mine, other, base, theirs, delete_removed_tensors, force)
-        b, o, t = base._by_key(), self._by_key(), theirs._by_key()
+        # Labels of all sides in the numbers of the merged names: sides that name new classes number them alike.
+        labels = _joint_names(old, mine, other)
+        b, o, t = (_relabelled(d._by_key(), side, labels) for d, side in ((base, old), (self, mine), (theirs, other)))
+        for c in columns:
+            if c.key in labels:
+                c.info["class_names"] = labels[c.key]
         for key, twin in self._twins:
             t = t.withColumn(twin, F.col(f"`{key}`"))
         plan = Plan(b, o, t, [k for k in old if k in mine and k in other], self._new_path("delta"))
@@ -1117,9 +1169,6 @@ class Dataset:
                         out.append(twin)
                     else:
                         made.name = x.name
-                if "class_names" in x.info:
-                    names = made.info.setdefault("class_names", [])
-                    names += [n for n in x.info["class_names"] if n not in names]
                 out.append(made)
             elif key in old and delete_removed:
                 continue
@@ -1292,6 +1341,34 @@ class Dataset:
         self.read_only = value
 
 
+def _joint_names(old: dict[str, Column], mine: dict[str, Column], other: dict[str, Column]) -> dict[str, list[str]]:
+    """For each column of class labels that both sides have: ours' names, then theirs', then those that only the base had."""
+    out = {}
+    for key in mine:
+        if key in other and any("class_names" in s[key].info for s in (mine, other)):
+            sides = (s[key].info.get("class_names") or [] for s in (mine, other, old) if key in s)
+            out[key] = list(dict.fromkeys(n for names in sides for n in names))
+    return out
+
+
+def _relabelled(rows: DataFrame, columns: dict[str, Column], labels: dict[str, list[str]]) -> DataFrame:
+    """Class labels as the numbers of their names in `labels`; numbers without a name stay."""
+    for key, joint in labels.items():
+        names = columns[key].info.get("class_names") or [] if key in columns else []
+        moved = {i: joint.index(n) for i, n in enumerate(names) if joint.index(n) != i}
+        if not moved or key not in rows.columns:
+            continue
+        table = F.create_map(*(F.lit(x) for pair in moved.items() for x in pair))
+
+        def to(x: SparkColumn, kind: T.DataType, table=table) -> SparkColumn:
+            if isinstance(kind, T.ArrayType):
+                return F.transform(x, lambda e: to(e, kind.elementType))
+            return F.coalesce(F.element_at(table, x.cast("int")).cast(kind), x)
+
+        rows = rows.withColumn(key, to(F.col(f"`{key}`"), rows.schema[key].dataType))
+    return rows
+
+
 def _literal(value, kind: T.DataType) -> SparkColumn:
     if value is None:
         return F.lit(None).cast(kind)

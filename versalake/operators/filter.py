@@ -3,7 +3,8 @@
 A condition is (column, operator, value[, use_index[, "NOT"]]). Operators: > >= < <= == !=, LIKE (a regular expression
 that is searched for), BETWEEN [low, high], CONTAINS "words" (all tokens; `||` separates alternatives). Connectors AND
 and OR stand between conditions and fold strictly from left to right. All of it becomes one `where`: Spark pushes what
-it can into the scan, so `use_index` asks for no other plan than that.
+it can into the scan. `use_index` takes a condition's rows from the column's index where a dataset has a current one
+(`Dataset.filter_vectorized`); the result is the same without.
 
 Null never matches; the negation of a condition matches exactly the rows that the condition doesn't.
 """
@@ -14,11 +15,13 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from versalake.errors import InvalidCondition, UnknownColumn
+from versalake.functions.patterns import java
 from versalake.functions.text import Analyser
 from versalake.operators.positions import POS
 from versalake.session import ship
@@ -55,6 +58,10 @@ def check(conditions: Sequence[tuple], connectors: Sequence[str] | None, schema:
         if op == "LIKE":
             if not text or not isinstance(value, (str, re.Pattern)):
                 raise InvalidCondition("LIKE takes a text column and a regular expression")
+            try:
+                re.compile(value)
+            except re.error as error:
+                raise InvalidCondition(f"{value!r} is no regular expression: {error}") from error
         elif op == "BETWEEN":
             if text or negated or not isinstance(value, (list, tuple)) or len(value) != 2:
                 raise InvalidCondition("BETWEEN takes a column of numbers and [low, high], and no NOT")
@@ -75,27 +82,19 @@ def check(conditions: Sequence[tuple], connectors: Sequence[str] | None, schema:
                 raise InvalidCondition(f"{name} and {value!r} don't compare")
 
 
-def java_pattern(pattern: str | re.Pattern) -> tuple[str, bool]:
-    """A Python pattern for Java's engine, and whether that can express it."""
-    flags = ""
-    if isinstance(pattern, re.Pattern):
-        flags = "".join(sign for bit, sign in ((re.I, "i"), (re.M, "m"), (re.S, "s"), (re.X, "x")) if pattern.flags & bit)
-        pattern = pattern.pattern
-    exact = not re.search(r"\(\?P=|\(\?\(|\(\?[aLu]|\\Z", pattern)
-    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    return (f"(?{flags})" if flags else "") + named, exact
-
-
-def like(column: Column, pattern: str | re.Pattern) -> Column:
-    """Whether the pattern is found anywhere in the text."""
-    java, exact = java_pattern(pattern)
-    if exact:
-        return column.rlike(java)
+def like(column: Column, pattern: str | re.Pattern, spark=None) -> Column:
+    """Whether Python's `re.search` finds the pattern in the text: in Java where it can be said there, in batches of
+    Python elsewhere."""
+    said = java(pattern)
+    if said is not None:
+        return column.rlike(said)
+    if spark is not None:
+        ship(spark)
     found = re.compile(pattern)
 
     @F.pandas_udf("boolean")
     def search(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t is not None and found.search(t) is not None)
+        return texts.map(lambda t: t is not None and found.search(t) is not None).astype(bool)
 
     return search(column)
 
@@ -121,7 +120,7 @@ def one(condition: tuple, schema: T.StructType, spark, analyser: Analyser) -> Co
     if names is not None and isinstance(value, str) and op in ("==", "!="):
         value = names.index(value) if value in names else -1
     if op == "LIKE":
-        out = like(column, value)
+        out = like(column, value, spark)
     elif op == "BETWEEN":
         out = column.between(*value)
     elif op == "CONTAINS":
@@ -132,10 +131,10 @@ def one(condition: tuple, schema: T.StructType, spark, analyser: Analyser) -> Co
     return ~out if len(condition) == 5 and condition[4] == "NOT" else out
 
 
-def predicate(df: DataFrame, conditions: Sequence[tuple], connectors: Sequence[str] | None = None, analyser: Analyser | None = None) -> Column:
-    """All conditions, folded from left to right."""
+def predicate(df: DataFrame, conditions: Sequence[tuple], connectors: Sequence[str] | None = None, analyser: Analyser | None = None, hits: dict[int, Column] | None = None) -> Column:
+    """All conditions, folded from left to right. hits: columns that stand for conditions by their number."""
     check(conditions, connectors, df.schema)
-    made = [one(tuple(c), df.schema, df.sparkSession, analyser or Analyser()) for c in conditions]
+    made = [(hits or {}).get(i) if i in (hits or {}) else one(tuple(c), df.schema, df.sparkSession, analyser or Analyser()) for i, c in enumerate(conditions)]
     out = made[0]
     for connector, c in zip(connectors or [], made[1:]):
         out = (out & c) if connector == "AND" else (out | c)
@@ -149,9 +148,22 @@ def page(df: DataFrame, offset: int = 0, limit: int | None = None, pos: str = PO
     return df.orderBy(pos).limit(limit) if limit else df
 
 
-def filter_vectorized(df: DataFrame, conditions: Sequence[tuple], connectors: Sequence[str] | None = None, offset: int = 0, limit: int | None = None, analyser: Analyser | None = None, pos: str = POS) -> DataFrame:
-    """The matching rows; with offset or limit, `pos` must be a column of df."""
-    return page(df.where(predicate(df, conditions, connectors, analyser)), offset, limit, pos)
+def filter_vectorized(df: DataFrame, conditions: Sequence[tuple], connectors: Sequence[str] | None = None, offset: int = 0, limit: int | None = None, analyser: Analyser | None = None, pos: str = POS, found: dict[int, DataFrame] | None = None) -> DataFrame:
+    """The matching rows; with offset or limit, `pos` must be a column of df. found: for conditions, by their number, the
+    positions (a column `pos`, once each) that an index gives. Where all conditions must hold, these rows alone are
+    met; elsewhere they are marked."""
+    names, found = df.columns, found or {}
+    check(conditions, connectors, df.schema)
+    if "OR" not in (connectors or []):
+        for hit in found.values():
+            df = df.join(hit.select(F.col("pos").alias("_at")), F.col(pos) == F.col("_at"), "left_semi")
+        hits = {i: F.lit(True) for i in found}
+    else:
+        for i, hit in found.items():
+            df = df.join(hit.select(F.col("pos").alias(f"_at_{i}")), F.col(pos) == F.col(f"_at_{i}"), "left")
+        hits = {i: F.col(f"_at_{i}").isNotNull() for i in found}
+    rows = df.where(predicate(df, conditions, connectors, analyser, hits))
+    return page(rows.select(*(f"`{n}`" for n in names)) if found else rows, offset, limit, pos)
 
 
 def filter_rows(df: DataFrame, condition, offset: int = 0, limit: int | None = None, pos: str = POS) -> DataFrame:
@@ -166,9 +178,10 @@ def filter_rows(df: DataFrame, condition, offset: int = 0, limit: int | None = N
     elif getattr(condition, "takes_row", False):
         made = row_udf(condition, df)
     else:
+        # A function of rows fails on a DataFrame in one of these ways, or gives no Column; all else is its own error.
         try:
             made = condition(df)
-        except Exception:
+        except (TypeError, KeyError, AttributeError, IndexError, PySparkException):
             made = None
         if not isinstance(made, Column):
             made = row_udf(condition, df)
