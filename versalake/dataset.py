@@ -408,7 +408,7 @@ class Dataset:
     @staticmethod
     def _renumbered(rows: DataFrame) -> DataFrame:
         """Adds `_at`, the position inside the view."""
-        return number(rows, LISTED if LISTED in rows.columns else POS, "_at")
+        return number(rows, LISTED if LISTED in rows.columns else POS, "_at", dense=True)
 
     def __setitem__(self, item, value) -> None:
         raise E.VersalakeError("assign to a column's rows: ds['column'][i] = value")
@@ -544,7 +544,7 @@ class Dataset:
         rows = self.spark.read.parquet(raw)
         n = rows.count()
         salt = random.getrandbits(62)
-        numbered = number(rows, "_m", ORD, 1 << 33).withColumn(ORD, F.col(ORD) + self._state["next"])
+        numbered = number(rows, "_m", ORD, 1 << 33, dense=True).withColumn(ORD, F.col(ORD) + self._state["next"])
         numbered = numbered.withColumn(UUID, F.xxhash64(F.lit(salt), ORD))
         self._add_rows(numbered.select(UUID, ORD, *(f"`{c.key}`" for c in columns)), n)
         self.log.files.delete(raw)
@@ -681,9 +681,16 @@ class Dataset:
         if index_query is not None:
             from versalake.functions.expr import compile_expression
 
-            other = flt.predicate(rows, [index_query])
+            names, found = rows.columns, self._looked_up(tuple(index_query), None)
+            if found is None:
+                other = flt.predicate(rows, [index_query])
+            else:
+                flt.check([index_query], None, rows.schema)
+                rows = rows.join(found.select(F.col("pos").alias("_at")), F.col(POS) == F.col("_at"), "left")
+                other = F.col("_at").isNotNull()
             mine = compile_expression(function, rows.schema) if isinstance(function, str) else function(rows) if callable(function) else function
-            out = flt.page(rows.where((mine & other) if connector == "AND" else (mine | other)), offset, limit, POS)
+            mine = F.coalesce(mine, F.lit(False))
+            out = flt.page(rows.where((mine & other) if connector == "AND" else (mine | other)).select(*(f"`{n}`" for n in names)), offset, limit, POS)
         else:
             out = flt.filter_rows(rows, function, offset, limit, POS)
         view = self._tied(out)
@@ -1139,7 +1146,7 @@ class Dataset:
             pops.write.parquet(paths["pop"])
             state["steps"].append({"kind": "pop", "path": paths["pop"]})
         if n.new_theirs or n.gone:
-            rows = number(brought, POS, "_new").select(UUID, (F.col("_new") + state["next"]).alias(ORD), *((F.col(f"`{k}`").cast(v) if k in brought.columns else F.lit(None).cast(v)).alias(k) for k, v in kinds.items()))
+            rows = number(brought, POS, "_new", dense=True).select(UUID, (F.col("_new") + state["next"]).alias(ORD), *((F.col(f"`{k}`").cast(v) if k in brought.columns else F.lit(None).cast(v)).alias(k) for k, v in kinds.items()))
             rows.write.parquet(paths["append"])
             count = self.spark.read.parquet(paths["append"]).count()
             state["steps"].append({"kind": "append", "path": paths["append"], "rows": count, "first": state["next"]})

@@ -8,16 +8,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 POS = "_pos"
-#: Rows of about this many neighbouring order values are numbered in one task.
+#: Rows that are numbered in one task, about.
 SPAN = 1 << 16
+#: Ranges that the driver knows the bounds of, at most.
+RANGES = 1 << 14
 
 
-def number(df: DataFrame, order: str, out: str = POS, span: int = SPAN) -> DataFrame:
-    """Adds `out`: 0, 1, 2, ... in the order of the whole-number column `order`. Ranges of it are counted first, the
-    counts accumulated, and each range numbers its own rows: no task sees more than a range."""
-    cut = df.withColumn("_range", F.floor(F.col(order) / span))
+def number(df: DataFrame, order: str, out: str = POS, span: int = SPAN, dense: bool | None = None) -> DataFrame:
+    """Adds `out`: 0, 1, 2, ... in the order of the whole-number column `order`. Rows are cut into ranges of about even
+    numbers of rows, whatever the values: the ranges are counted first, the counts accumulated, and each range numbers its
+    own rows. Where values are dense (by the caller's word, or measured), ranges are `span` values wide; elsewhere they
+    follow the quantiles of a sketch."""
+    stat = None if dense else df.agg(F.count(order).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if stat is None or not stat.n or stat.high - stat.low < 4 * max(stat.n, span):
+        bounds = F.floor(F.col(order) / span)
+    else:
+        parts = int(min(RANGES, max(2, -(-stat.n // span))))
+        found = df.agg(F.approx_percentile(order, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
+        # How many cuts lie below a value, by halving.
+        cuts, most = sorted(set(found)), (1 << 63) - 1
+        held, steps = F.lit(cuts), [1 << i for i in reversed(range(len(cuts).bit_length()))]
+        below = lambda at, step: F.coalesce(F.get(held, at + step - 1), F.lit(most)) < F.col(order)
+        bounds = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
+    cut = df.withColumn("_range", bounds.cast("long"))
     counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per range of SPAN order values: 65,536 times fewer than rows.
+    # One row per range: some thousand times fewer than rows.
     before = counts.select(F.col("_range"), (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     return cut.join(before, "_range").withColumn(out, (F.col("_before") + within - 1).cast("long")).drop("_range", "_before")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,6 +15,7 @@ from versalake.functions.vectors import class_name, label_hash
 from versalake.operators import aggregate as agg
 from versalake.operators import knn, positions, text_index
 from versalake.operators.filter import filter_rows, filter_vectorized
+from versalake.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,11 +118,11 @@ def filter_row_udf(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE (o_custkey % 10 = 3 AND o_totalprice > 5000) OR o_orderpriority = '1-URGENT'")
 def filter_expression_and_condition(spark, sf):
-    rows = read(spark, sf, "orders")
-    from versalake.functions.expr import compile_expression
-    from versalake.operators.filter import predicate
+    import versalake as v
 
-    return rows.where(compile_expression("o_custkey % 10 == 3 and o_totalprice > 5000", rows.schema) | predicate(rows, [("o_orderpriority", "==", "1-URGENT")])).select("o_orderkey")
+    ds = v.dataset(_scratch(spark), spark=spark)
+    ds.extend_frame(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"))
+    return ds.filter("o_custkey % 10 == 3 and o_totalprice > 5000", index_query=("o_orderpriority", "==", "1-URGENT"), connector="OR").frame().select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
@@ -272,7 +274,7 @@ FROM (SELECT v, min(v) OVER () AS lo, max(v) OVER () AS hi FROM (SELECT CAST({va
 
 @query(" UNION ALL ".join((_stat_sql("l_quantity", "lineitem", "l_quantity"), _stat_sql("l_linenumber", "lineitem", "l_linenumber"), _stat_sql("l_returnflag", "lineitem", "length(l_returnflag)"))))
 def column_stats(spark, sf):
-    out = agg.statistics(read(spark, sf, "lineitem"), ["l_quantity", "l_linenumber", "l_returnflag"]).drop("nan_proportion")
+    out = agg.statistics(read(spark, sf, "lineitem"), ["l_quantity", "l_linenumber", "l_returnflag"], exact=True).drop("nan_proportion")
     return out.select(*(F.round(c, 6).alias(c) if c in ("min", "max", "mean", "median", "std") else c for c in out.columns))
 
 
@@ -357,15 +359,8 @@ def knn_reranked_blocks(spark, sf):
 
 
 def _scratch(spark) -> str:
-    import tempfile
-    import uuid
-
-    context = spark.sparkContext._jsc.sc()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (context.getCheckpointDir().get() if context.getCheckpointDir().isDefined() else None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="versalake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/versalake-{uuid.uuid4().hex}"
+    """A fresh path in the folder that all executors share; one of this machine only in local mode."""
+    return f"{shared_folder(spark)}/versalake-{uuid.uuid4().hex}"
 
 
 @query()
@@ -419,12 +414,18 @@ def take_slices(spark, sf):
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def projection(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    import versalake as v
+
+    ds = v.dataset(_scratch(spark), spark=spark)
+    ds.extend_frame(read(spark, sf, "customer"))
+    return ds[["c_custkey", "c_name", "c_acctbal"]].frame().select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("SELECT min(len(embedding)) AS shortest, max(len(embedding)) AS longest, count(*) AS n FROM embeddings")
 def shape_interval(spark, sf):
-    return read(spark, sf, "embeddings").agg(F.min(F.size("embedding")).alias("shortest"), F.max(F.size("embedding")).alias("longest"), F.count(F.lit(1)).alias("n"))
+    rows = read(spark, sf, "embeddings")
+    axis = agg.summary(rows).where("name = 'embedding'").select("shortest", "longest")
+    return axis.crossJoin(agg.statistics(rows, ["vec_id"], exact=False).select(F.col("num_examples").alias("n")))
 
 
 @query("SELECT vec_id, CASE label WHEN 0 THEN 'cat' WHEN 1 THEN 'dog' WHEN 2 THEN 'owl' END AS name FROM embeddings")
@@ -442,25 +443,22 @@ def label_hashes(spark, sf):
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 UNION SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
 def ids_union(spark, sf):
-    rows = read(spark, sf, "orders")
-    return rows.where("o_totalprice > 150000").select("o_orderkey").union(rows.where("o_orderstatus = 'P'").select("o_orderkey")).distinct()
+    return filter_vectorized(read(spark, sf, "orders"), [("o_totalprice", ">", 150000), ("o_orderstatus", "==", "P")], ["OR"]).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 150000 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def ids_intersection(spark, sf):
-    rows = read(spark, sf, "orders")
-    return rows.where("o_totalprice > 150000").select("o_orderkey").intersect(rows.where("o_orderstatus = 'O'").select("o_orderkey"))
+    return filter_vectorized(read(spark, sf, "orders"), [("o_totalprice", ">", 150000), ("o_orderstatus", "==", "O")], ["AND"]).select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders EXCEPT SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '%LOW'")
 def ids_difference(spark, sf):
-    rows = read(spark, sf, "orders")
-    return rows.select("o_orderkey").exceptAll(rows.where(F.col("o_orderpriority").endswith("LOW")).select("o_orderkey"))
+    return filter_vectorized(read(spark, sf, "orders"), [("o_orderpriority", "LIKE", "LOW$", False, "NOT")]).select("o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
 def semi_lookup(spark, sf):
-    rich = read(spark, sf, "customer").where("c_acctbal > 9000")
+    rich = filter_vectorized(read(spark, sf, "customer"), [("c_acctbal", ">", 9000)])
     return read(spark, sf, "orders").join(rich, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
@@ -594,3 +592,6 @@ def flat_map_udf(spark, sf):
             sample_out.append({"doc_id": sample_in["doc_id"], "part": i})
 
     return parts().frame(read(spark, sf, "documents").select("doc_id"))
+
+
+import versalake.plans.dataset_queries  # noqa: E402, F401  (registers the queries over datasets)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -35,3 +37,19 @@ def ship(spark: SparkSession) -> None:
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`. Where that is unset, a folder of this machine in local
+    mode, as in tests; on a cluster it must be named."""
+    context = spark.sparkContext._jsc.sc()
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None and context.getCheckpointDir().isDefined():
+        at = context.getCheckpointDir().get()
+    if at is None:
+        if not re.fullmatch(r"local(\[[^,]*(,.*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="versalake-")
+        spark.sparkContext.setCheckpointDir(at)
+    at = at.rstrip("/")
+    return at if ":" in at.split("/")[0] else f"file://{at}" if at.startswith("/") else at

@@ -78,7 +78,7 @@ def frame(spark: SparkSession, columns: list[Column], steps: list[dict], hidden:
 
 def dense(df: DataFrame, is_dense: bool) -> DataFrame:
     """Adds `_pos`. Where nothing was ever removed, the order already is the position."""
-    return df.withColumn(POS, F.col(ORD)) if is_dense else number(df, ORD)
+    return df.withColumn(POS, F.col(ORD)) if is_dense else number(df, ORD, dense=True)
 
 
 def is_dense(steps: list[dict]) -> bool:
