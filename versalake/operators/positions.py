@@ -33,9 +33,10 @@ def number(df: DataFrame, order: str, out: str = POS, span: int = SPAN, dense: b
     cut = df.withColumn("_range", bounds.cast("long"))
     counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # One row per range: some thousand times fewer than rows.
-    before = counts.select(F.col("_range"), (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    before = counts.select(F.col("_range").alias("_of"), (F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return cut.join(before, "_range").withColumn(out, (F.col("_before") + within - 1).cast("long")).drop("_range", "_before")
+    met = cut.join(before, F.col("_range").eqNullSafe(F.col("_of")))
+    return met.withColumn(out, (F.col("_before") + within - 1).cast("long")).drop("_range", "_of", "_before")
 
 
 def resolve(item, length: int) -> tuple[str, object]:
