@@ -90,11 +90,12 @@ def apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     right = decisions.groupBy(who.alias("_rid"), F.col("text_hash").alias("_rhash")).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies"))
     right = right.where(F.col("_copies")[0] > 0)
-    left = docs.withColumns({"_id": who, "_hash": F.xxhash64("text")})
+    # Columns of the input stay in a struct, so that none clashes with the names here.
+    left = docs.select(F.struct(*docs.columns).alias("doc"), who.alias("_id"), F.xxhash64("text").alias("_hash"))
     met = left.join(right.hint("shuffle_hash"), (F.col("_id") == F.col("_rid")) & (F.col("_hash") == F.col("_rhash")))
     same = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
     met = met.withColumn("_taken", F.get("_copies", F.row_number().over(same) - 1)).where("_taken > 0")
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken")))).select(*docs.columns)
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_taken")))).select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 SQL = r"""

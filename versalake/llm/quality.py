@@ -122,7 +122,9 @@ def scores(docs: DataFrame, ratios: DataFrame, text: str = "text") -> DataFrame:
 
 def judge(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """doc_id, base columns, base_failed, score, kept for every document."""
-    rows = docs.select("doc_id", text, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2"))
+    # Null texts have no score; they are spread by doc_id, for one hash of all of them would meet in one task.
+    known = lambda h: F.when(F.col(text).isNotNull(), h).otherwise(F.xxhash64(F.lit("null"), "doc_id"))
+    rows = docs.select("doc_id", text, known(F.xxhash64(text)).alias("h1"), known(F.xxhash64(F.lit("text"), text)).alias("h2"))
     rows = base(rows, "doc_id", "h1", "h2", text=text)
     got = rows.join(scores(docs, ratios, text), ["h1", "h2"], "left").drop("h1", "h2")
     return got.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))

@@ -4,9 +4,11 @@ Documents with equal texts are one indivisible group; its size is the sum of its
 partition is a tuple of shard sums, a group alone being (size, 0, ..., 0). The two partial partitions of largest
 spread are combined, the largest sum of one with the smallest of the other, until one is left.
 
-Groups fall into `BLOCKS` blocks by the hash of their text. Each block is differenced in its own task, `CHUNK` groups
-at a time and then the chunks' partial partitions; the driver combines the BLOCKS partial partitions that are left,
-a bounded number. All of them are partial partitions, so the law stays the same on every level.
+Groups fall into blocks of about `GROUPS` by the hash of their text, as many as the table needs. Each block is differenced
+in its own task, `CHUNK` groups at a time and then the chunks' partial partitions. The blocks' partial partitions are
+combined the same way, beyond `TOP` of them first in tasks of about as many; the driver never sees more than `TOP`. All
+of them are partial partitions, so the law stays the same on every level. Rows of a text that very many share stay where
+they are (`common.join_hot`).
 
 Null text has no bytes (size 1, crc32 0) and is a group of its own; repeated rows belong to their text's group; an
 empty table gives an empty one. Other columns are ignored. One text that outweighs all others makes its shard larger:
@@ -20,12 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versalake.llm.common import partitions, running_sum, short_batches, written
+from versalake.llm.common import join_hot, partitions, running_sum, short_batches, written
 
-BLOCKS, CHUNK = 4096, 4096
+GROUPS, CHUNK, TOP = 1 << 14, 4096, 4096
 
 
 def difference(parts: list[list[int]]) -> tuple[list[list[int]], list[int]]:
@@ -87,16 +89,18 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
         F.coalesce(F.unhex(F.sha2(raw, 256)), F.lit(b"").cast("binary")).alias("hash"),
     )
     rows = written(rows, "shard-rows")
-    groups = rows.groupBy("hash").agg(F.sum("size").alias("size")).withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(BLOCKS)).cast("int"))
+    total, distinct = rows.agg(F.count(F.lit(1)), F.approx_count_distinct("hash")).first()
+    blocks = max(1, -(-distinct // GROUPS))
+    groups = rows.groupBy("hash").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks)).cast("int"))
     groups = groups.repartition(partitions(spark), "block").sortWithinPartitions("block", "hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give():
             slots = assign([int(s) for p in sizes for s in p], shards)
             held = pa.chunked_array(hashes).combine_chunks()
-            yield pa.RecordBatch.from_arrays([held, pa.array(np.full(len(slots), now, np.int32)), pa.array(slots, pa.int32()), pa.array(np.concatenate(sizes), pa.int64())], ["hash", "block", "slot", "size"])
+            yield pa.RecordBatch.from_arrays([held, pa.array(np.full(len(slots), now, np.int32)), pa.array(slots, pa.int32()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], ["hash", "block", "slot", "size", "n"])
 
-        now, hashes, sizes = None, [], []
+        now, hashes, sizes, counts = None, [], [], []
         for batch in batches:
             block = np.asarray(batch.column("block"))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
@@ -105,23 +109,46 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text") -> DataFrame:
                     continue
                 if block[a] != now and hashes:
                     yield from give()
-                    hashes, sizes = [], []
+                    hashes, sizes, counts = [], [], []
                 now = int(block[a])
                 hashes.append(batch.column("hash").slice(a, b - a))
                 sizes.append(np.asarray(batch.column("size"))[a:b])
+                counts.append(np.asarray(batch.column("n"))[a:b])
         if hashes:
             yield from give()
 
-    placed = written(groups.mapInArrow(run, "hash binary, block int, slot int, size long"), "shard-groups")
-    # At most BLOCKS * shards rows come to the driver and go back.
-    parts: dict[int, list[int]] = {}
-    for block, slot, size in placed.groupBy("block", "slot").agg(F.sum("size")).collect():
-        parts.setdefault(block, [0] * shards)[slot] = size
-    blocks = sorted(parts)
-    moved = difference([parts[b] for b in blocks])[0] if blocks else []
-    table = pa.table({"block": pa.array(np.repeat(np.array(blocks, np.int32), shards)), "slot": pa.array(np.tile(np.arange(shards, dtype=np.int32), len(blocks))), "shard": pa.array([s for m in moved for s in m], pa.int32())})
-    final = spark.createDataFrame(table, "block int, slot int, shard int")
-    where = placed.select("hash", "block", "slot").join(F.broadcast(final), ["block", "slot"]).select("hash", "shard")
-    found = rows.join(where, "hash").withColumns({"_bucket": F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("int"), "_one": F.lit(1)})
+    placed = written(groups.mapInArrow(run, "hash binary, block int, slot int, size long, n long"), "shard-groups")
+    sums = placed.groupBy("block", "slot").agg(F.sum("size").alias("size"))
+    if blocks <= TOP:
+        # At most TOP * shards rows come to the driver and go back.
+        final = F.broadcast(_combined(spark, sums.collect(), shards, ["block", "slot", "shard"]))
+    else:
+        tops = -(-blocks // TOP)
+
+        def lift(group: pa.Table) -> pa.Table:
+            parts: dict[int, list[int]] = {}
+            for block, slot, size in zip(*(group.column(c).to_pylist() for c in ("block", "slot", "size"))):
+                parts.setdefault(block, [0] * shards)[slot] = size
+            moved = difference(list(parts.values()))[0]
+            flat = [(group.column("top")[0].as_py(), b, i, m[i], parts[b][i]) for b, m in zip(parts, moved) for i in range(shards)]
+            return pa.table([pa.array(c, k) for c, k in zip(zip(*flat), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["top", "block", "slot", "up", "size"])
+
+        lifted = sums.withColumn("top", F.pmod(F.xxhash64("block"), F.lit(tops)).cast("int")).groupBy("top")
+        lifted = written(lifted.applyInArrow(lift, "top int, block int, slot int, up int, size long"), "shard-blocks")
+        top = _combined(spark, lifted.groupBy("top", "up").agg(F.sum("size").alias("size")).collect(), shards, ["top", "up", "shard"])
+        final = lifted.join(F.broadcast(top), ["top", "up"]).select("block", "slot", "shard")
+    where = placed.join(final, ["block", "slot"]).select("hash", "shard", "n")
+    found = join_hot(rows, where, "hash", total).withColumns({"_bucket": F.pmod(F.xxhash64("doc_id"), F.lit(4096)).cast("int"), "_one": F.lit(1)})
     found = running_sum(found, ["shard"], "_bucket", ["doc_id", "text_crc32", "size"], "_one", "_nth")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _combined(spark: SparkSession, sums: list, shards: int, names: list[str]) -> DataFrame:
+    """Combines the partial partitions of rows (part, slot, size): the shard of each part's slots."""
+    parts: dict[int, list[int]] = {}
+    for part, slot, size in sums:
+        parts.setdefault(part, [0] * shards)[slot] = size
+    known = sorted(parts)
+    moved = difference([parts[p] for p in known])[0] if known else []
+    columns = [np.repeat(np.array(known, np.int32), shards), np.tile(np.arange(shards, dtype=np.int32), len(known)), np.array([s for m in moved for s in m], np.int32)]
+    return spark.createDataFrame(pa.table(columns, names), ", ".join(f"{n} int" for n in names))

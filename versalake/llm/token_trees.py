@@ -30,8 +30,8 @@ from versalake.llm import bpe
 from versalake.llm.common import short_batches, written
 
 LEAF = 32
-#: Edits up to this number are broadcast; beyond it documents and edits meet in a shuffle.
-MOST_EDITS = 500_000
+#: Edits up to this number of bytes are broadcast; beyond it documents and edits meet in a shuffle.
+MOST_EDITS = 1 << 24
 TREE = [T.StructField("spans", T.ArrayType(T.LongType(), False)), T.StructField("counts", T.ArrayType(T.LongType(), False))]
 
 
@@ -61,51 +61,65 @@ def leaves_of(coder: bpe.ByteBPE, data: np.ndarray, begin: np.ndarray) -> list[t
 
 
 class Tree:
-    """A document's tree under edits. `encoded` counts the bytes that edits made it encode."""
+    """A document's tree under edits. The text lies in its leaves, so an edit copies and decodes those that it touches
+    alone. `encoded` counts the bytes that edits made it encode."""
 
     def __init__(self, coder: bpe.ByteBPE, text: bytes, spans: list[int], counts: list[int]):
-        self.coder, self.text, self.spans, self.counts, self.encoded = coder, text, list(spans), list(counts), 0
+        self.coder, self.spans, self.counts, self.encoded = coder, list(spans), list(counts), 0
+        ends = np.cumsum(self.spans[len(self.spans) // 2 :])
+        cuts = [0, *ends.tolist()]
+        self.pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        heads = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+        #: The heap of code points.
+        self.chars = sums(np.diff(heads[cuts])).tolist()
+
+    @property
+    def text(self) -> bytes:
+        return b"".join(self.pieces)
+
+    def __len__(self) -> int:
+        return self.chars[1]
 
     def _find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds byte `at`, and where it starts."""
-        node, start, size = 1, 0, len(self.spans) // 2
+        """The leaf that holds code point `at`, and where it starts."""
+        node, start, size = 1, 0, len(self.chars) // 2
         while node < size:
             node *= 2
-            if at - start >= self.spans[node]:
-                start += self.spans[node]
+            if at - start >= self.chars[node]:
+                start += self.chars[node]
                 node += 1
         return node - size, start
 
     def edit(self, start: int, length: int, replacement: str) -> None:
         """Replaces `length` code points at `start`."""
-        if self.text.isascii():
-            a = min(max(start, 0), len(self.text))
-            b = min(max(start, 0) + max(length, 0), len(self.text))
-        else:
-            said = self.text.decode()
-            a = len(said[: max(start, 0)].encode())
-            b = a + len(said[max(start, 0) : max(start, 0) + max(length, 0)].encode())
-        total, new = len(self.text), replacement.encode()
+        total = len(self)
+        a = min(max(start, 0), total)
+        b = min(max(start, 0) + max(length, 0), total)
         first, left = self._find(max(a - 1, 0)) if total else (0, 0)
-        last, right = self._find(min(b, total - 1)) if total else (0, 0)
-        size = len(self.spans) // 2
-        right += self.spans[size + last]
-        region = self.text[left:a] + new + self.text[b:right]
-        self.text = self.text[:a] + new + self.text[b:]
+        last, _ = self._find(min(b, total - 1)) if total else (0, 0)
+        said = b"".join(self.pieces[first : last + 1]).decode()
+        region = (said[: a - left] + replacement + said[b - left :]).encode()
         self.encoded += len(region)
-        spans, counts = leaves_of(self.coder, np.frombuffer(region, np.uint8), np.array([0, len(region)]))[0]
-        room = last - first + 1
-        if len(spans) > room:
-            for name, fresh in (("spans", spans), ("counts", counts)):
+        data = np.frombuffer(region, np.uint8)
+        spans, counts = leaves_of(self.coder, data, np.array([0, len(region)]))[0]
+        cuts = np.concatenate([[0], np.cumsum(spans)])
+        chars = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[cuts])
+        pieces = [region[x:y] for x, y in zip(cuts.tolist(), cuts[1:].tolist())]
+        room, size = last - first + 1, len(self.spans) // 2
+        fresh = {"spans": spans.tolist(), "counts": counts.tolist(), "chars": chars.tolist()}
+        if len(pieces) > room:
+            pieces = self.pieces[:first] + pieces + self.pieces[last + 1 :]
+            used = [i for i, p in enumerate(pieces) if p] or [0]
+            for name, new in fresh.items():
                 old = getattr(self, name)[size:]
-                row = np.concatenate([np.array(old[:first], np.int64), fresh, np.array(old[last + 1 :], np.int64)])
-                setattr(self, name, row)
-            used = np.flatnonzero(self.spans > 0)
-            used = used if len(used) else np.zeros(1, np.int64)
-            self.spans, self.counts = sums(self.spans[used]).tolist(), sums(self.counts[used]).tolist()
+                row = old[:first] + new + old[last + 1 :]
+                setattr(self, name, sums(np.array([row[i] for i in used], np.int64)).tolist())
+            self.pieces = [pieces[i] for i in used] + [b""] * (len(self.spans) // 2 - len(used))
             return
-        for heap, fresh in ((self.spans, spans.tolist()), (self.counts, counts.tolist())):
-            heap[size + first : size + last + 1] = fresh + [0] * (room - len(fresh))
+        self.pieces[first : last + 1] = pieces + [b""] * (room - len(pieces))
+        for name, new in fresh.items():
+            heap = getattr(self, name)
+            heap[size + first : size + last + 1] = new + [0] * (room - len(new))
             low, high = (size + first) // 2, (size + last) // 2
             while low:
                 for node in range(low, high + 1):
@@ -154,7 +168,7 @@ def apply(trees: DataFrame, path: str) -> DataFrame:
             for i in touched.tolist():
                 tree = Tree(coder, (columns["text"][i].as_py() or "").encode(), columns["spans"][i].as_py(), columns["counts"][i].as_py())
                 for e in sorted(edits[i].as_py(), key=lambda e: e["seq"]):
-                    tree.edit(len(tree.text) if e["start"] is None else e["start"], e["length"] or 0, e["replacement"] or "")
+                    tree.edit(len(tree) if e["start"] is None else e["start"], e["length"] or 0, e["replacement"] or "")
                 done[i], encoded[i] = tree, tree.encoded
             # Rows that no edit touches keep their values; edited ones are put behind and taken from there.
             order = np.arange(batch.num_rows)
@@ -178,7 +192,8 @@ def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
         keys.append(F.col("text_hash").alias("_hash"))
         on &= F.xxhash64("text") == F.col("_hash")
     each = edits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "length", "replacement"))).alias("edits"))
-    few = edits.count() <= MOST_EDITS
+    size = edits.agg(F.sum(F.coalesce(F.octet_length("replacement"), F.lit(0)) + 48)).first()[0]
+    few = (size or 0) <= MOST_EDITS
     return docs.drop("edits").join(F.broadcast(each) if few else each, on, "left").drop("_id", "_hash")
 
 
