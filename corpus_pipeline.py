@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versalake.llm import bpe_codec, language, line_dedup, mixing, near_dedup
-from versalake.llm.common import documents, tokenizer_path, written
+from versalake.llm.common import discard, documents, tokenizer_path, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # a stage's result is used up once the next one's is written
     return STAGES[-1][1](spark, docs, sf_dir)
