@@ -260,8 +260,11 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     for r in table:
         taken[r.lang, r.piece] = taken.get((r.lang, r.piece), 0) + 1
         if taken[r.lang, r.piece] <= 2 * per_lang:
-            rows_.append((r.lang, r.held, r.n, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.share, np.float32)))
-    return train(rows_) if rows_ else None
+            rows_.append((r.lang, r.held, r.n, np.frombuffer(r.at, np.uint16), np.frombuffer(r.share, np.float32)))
+    model = train(rows_) if rows_ else None
+    del got, table, rows_
+    trim()  # the driver's Python outlives the training rows
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

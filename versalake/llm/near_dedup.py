@@ -255,14 +255,19 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
     texts = written(texts, "near-texts")
     degrees = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    stat = degrees.agg(F.sum("n").alias("pairs"), F.max("n").alias("most")).first()
+    met = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    centres = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     # Centres of more members than this are at most HOT, whatever the table.
-    share = max(SHARE, -(-pairs.count() // HOT))
-    parts = degrees.where(F.col("n") > share).select("b", F.ceil(F.col("n") / share).cast("int").alias("parts"))
-    many = F.coalesce("parts", F.lit(1))
-    met = pairs.select("a", "b").join(F.broadcast(parts), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), many).cast("int").alias("part"))
-    centres = texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).join(F.broadcast(parts), "b", "left")
-    centres = centres.select("b", "tb", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
-    met = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(centres, ["b", "part"]).select("a", "b", "ta", "tb")
+    share = max(SHARE, -(-(stat.pairs or 0) // HOT))
+    if (stat.most or 0) <= share:
+        met = met.join(centres, "b").select("a", "b", "ta", "tb")
+    else:
+        parts = F.broadcast(degrees.where(F.col("n") > share).select("b", F.ceil(F.col("n") / share).cast("int").alias("parts")))
+        many = F.coalesce("parts", F.lit(1))
+        met = met.join(parts, "b", "left").select("a", "b", "ta", F.pmod(F.xxhash64("a"), many).cast("int").alias("part"))
+        centres = centres.join(parts, "b", "left").select("b", "tb", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
+        met = met.join(centres, ["b", "part"]).select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
