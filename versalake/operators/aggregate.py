@@ -70,14 +70,17 @@ def _named(df: DataFrame, out: DataFrame, names: Sequence[str]) -> DataFrame:
     return out
 
 
-def _ordered(out: DataFrame, columns: Sequence[str], descending: bool, lexicographic: bool) -> DataFrame:
+def _ordered(out: DataFrame, columns: Sequence[str], ties: Sequence[str], descending: bool, lexicographic: bool) -> DataFrame:
+    """Sorted by `columns`; rows that are equal there ascend by `ties`, which tell all groups apart."""
     made = [F.col(f"`{c}`").cast("string") if lexicographic else F.col(f"`{c}`") for c in columns]
-    return out.orderBy(*(c.desc() if descending else c.asc() for c in made))
+    rest = [F.col(f"`{c}`").cast("string") if isinstance(out.schema[c].dataType, T.MapType) else F.col(f"`{c}`") for c in ties if c not in columns or lexicographic]
+    return out.orderBy(*(c.desc() if descending else c.asc() for c in made), *rest)
 
 
 def aggregate(df: DataFrame, group_by: Sequence[str], selected: Sequence[str] | None = None, order_by: Sequence[str] | None = None, aggregates: Sequence[str] = ("*",), function=None, order_direction: str = "DESC", method: str = "count", lexicographic: bool = False) -> DataFrame:
     """count or sum by group, with an optional filter first. count of a column counts its truthy values, count of `*`
-    rows; sum takes a cell's first element. Without order_by the largest first aggregate comes first.
+    rows; sum takes a cell's first element. Without order_by the largest first aggregate comes first. Of equal groups the
+    one that is met first comes first where rows have positions, then the one of the smaller keys.
     lexicographic: order by the values' texts, as older code expects."""
     aggregates = list(aggregates) or ["*"]
     selected = list(selected or group_by)
@@ -90,27 +93,31 @@ def aggregate(df: DataFrame, group_by: Sequence[str], selected: Sequence[str] |
         else:
             value = F.sum(first_element(df, name))
         made.append(value.alias(label(method, name)))
+    ties = list(group_by)
+    if "_pos" in df.columns:
+        made.append(F.min("_pos").alias("_first_pos"))
+        ties.insert(0, "_first_pos")
     out = _named(df, rows.groupBy(*(f"`{g}`" for g in group_by)).agg(*made), group_by)
-    out = out.select(*(f"`{s}`" for s in selected), *(label(method, a) for a in aggregates))
     by = [o if o in selected else label(method, o) for o in order_by or []] or [label(method, aggregates[0])]
-    return _ordered(out, by, order_direction == "DESC" or not order_by, lexicographic and bool(order_by))
+    out = _ordered(out, by, ties, order_direction == "DESC" or not order_by, lexicographic and bool(order_by))
+    return out.select(*(f"`{s}`" for s in selected), *(label(method, a) for a in aggregates))
 
 
 def aggregate_vectorized(df: DataFrame, group_by: Sequence[str], selected: Sequence[str] | None = None, order_by: Sequence[str] | None = None, aggregates: Sequence[str] | None = None, order_direction: str = "ASC", method: str = "count") -> DataFrame:
     """count, sum, avg, min or max by group over all rows; without aggregates the distinct keys. count counts rows.
-    Without order_by groups come sorted by their keys."""
+    Without order_by groups come sorted by their keys; so do groups that order_by leaves equal."""
     selected = list(selected or group_by)
     check(df, group_by, selected, order_by, aggregates, method)
     if not aggregates:
-        out = df.select(*(f"`{g}`" for g in group_by)).distinct().select(*(f"`{s}`" for s in selected))
-        out = _named(df, out, group_by)
-        return _ordered(out, list(order_by or selected), order_direction == "DESC" and bool(order_by), False)
+        out = _named(df, df.select(*(f"`{g}`" for g in group_by)).distinct(), group_by)
+        out = _ordered(out, list(order_by or selected), group_by, order_direction == "DESC" and bool(order_by), False)
+        return out.select(*(f"`{s}`" for s in selected))
     functions = {"count": lambda n: F.count(F.lit(1)), "sum": lambda n: F.sum(first_element(df, n)), "avg": lambda n: F.avg(first_element(df, n)), "min": lambda n: F.min(first_element(df, n)), "max": lambda n: F.max(first_element(df, n))}
     made = [functions[method](a).alias(label(method, a)) for a in aggregates]
     out = _named(df, df.groupBy(*(f"`{g}`" for g in group_by)).agg(*made), group_by)
-    out = out.select(*(f"`{s}`" for s in selected), *(label(method, a) for a in aggregates))
     by = [o if o in selected else label(method, o) for o in order_by or []] or selected
-    return _ordered(out, by, order_direction == "DESC" and bool(order_by), False)
+    out = _ordered(out, by, group_by, order_direction == "DESC" and bool(order_by), False)
+    return out.select(*(f"`{s}`" for s in selected), *(label(method, a) for a in aggregates))
 
 
 def statistics(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 10, exact: bool = False) -> DataFrame:
