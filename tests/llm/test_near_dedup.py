@@ -168,3 +168,33 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, "a b c d e f", ""), (1, "g h i j k l", ""), (2, "a b c d e f", ""), (3, "g h i j k l", "")]
     got = {(r.doc_id, r.class_id) for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_texts_that_no_other_class_can_match_are_not_paired(spark, monkeypatch):
+    rng, paired = random.Random(4), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    origin = [word() for _ in range(300)]
+    rows = []
+    for i in range(120):  # each like the others at about 0.6: they share buckets and no class
+        copy = list(origin)
+        for at in rng.sample(range(300), 9):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, " ".join(rows[i][1].split()[:290])) for i in range(0, 120, 10)]
+    real = near_dedup.verify
+    monkeypatch.setattr(near_dedup, "verify", lambda pairs, docs: (paired.append(pairs.count()), real(pairs, docs))[1])
+    got = near_dedup.classes(spark.createDataFrame([(*r, "") for r in rows], SCHEMA)).collect()
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in got} == want and len(set(want.values())) == 120
+    assert sum(paired[1:]) < 10 * len(rows)
+
+
+def test_bound_holds_for_cut_and_nested_texts(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3)
+    origin = [word() for _ in range(400)]  # few words: shingles repeat
+    texts = [" ".join(origin[: rng.randint(200, 400)]) for _ in range(60)] + [" ".join(origin[rng.randint(0, 150) :]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == brute(rows)

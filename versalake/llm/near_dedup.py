@@ -13,10 +13,19 @@ REGISTERS * ln(REGISTERS) of them for any length of text.
 *Candidates.* Texts that agree in all `ROWS` registers of one of `BANDS` bands share a bucket; a pair of similarity
 0.8 misses all with a probability under 1e-7. Nothing lists all pairs of a bucket: each member is verified against the
 bucket's smallest member first, and the verified links are contracted. A bucket whose members then form one class is
-settled. In the others only pairs of different classes are left, less those that the triangle inequality rules out
-(1 - similarity is a metric): |s(u,c) - s(v,c)| > 0.2 for the bucket's centre c. They are verified as well, all of
-them, so no link inside a bucket is lost; before that, further rounds with other centres contract classes while what
-is left is more than `LEFT` times the members.
+settled. In the others only pairs of different classes are left, less those that can't be similar:
+
+* A text shares with other classes no more than its shingles that some other class holds, too. If these are less than
+  0.8 of its bag, it has no link outside its class. That needs one count of the shingles of all texts in such buckets,
+  not of pairs. Equal hashes of different shingles only raise the bound, so nothing is lost by it. Merged classes lower
+  it: who is out stays out.
+* These shingles are counted in `BINS` bins by their hash. The overlap of u and v is at most the sum over the bins of
+  the lesser count, and 0.8 takes 4/9 of both bags together.
+* The triangle inequality (1 - similarity is a metric): |s(u,c) - s(v,c)| > 0.2 for the bucket's centre c.
+
+The rest is verified as well, all of it, so no link inside a bucket is lost; before that, further rounds with other
+centres contract classes while the pairs left are more than `LEFT` times the members. They are counted where that is
+cheaper than verifying as many; else all pairs of a bucket count.
 
 *Verification* counts both texts' shingles exactly: hashes only sort words and shingles, those of one hash are compared
 themselves. Classes are connected components, found by large-star and small-star steps over tables.
@@ -48,6 +57,9 @@ REGISTERS = BANDS * ROWS
 #: Ids up to this number are broadcast to pick out texts; beyond it they are joined by a shuffle.
 MOST_IDS = 1_000_000
 LEFT, ROUNDS = 4, 4
+#: Rows of a bucket that are compared by their numbers in about the time that it takes to verify a pair.
+COMPARE = 1000
+BINS = 128
 #: Bytes of text that are hashed at a time: their processes and points are held at once, at some hundred bytes a word.
 SLICE = 1 << 19
 #: Words of more bytes are hashed one by one.
@@ -247,13 +259,38 @@ def keys(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, keys array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, s): the similarity of each pair of doc_ids. Only texts that are in a pair are moved."""
-    short_batches(docs.sparkSession)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of these ids."""
+    ids = written(ids.distinct(), "near-ids")
     few = ids.count() <= MOST_IDS
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id")
     texts = written(texts, "near-texts")
+    discard(ids)
+    return texts
+
+
+def shingles(texts: DataFrame) -> DataFrame:
+    """(id, shingle, n, size): the hashes of each text's shingles with their multiplicities, and the size of its bag."""
+    short_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            data, begin = bpe.column_bytes(batch.column(1))
+            for a, b in bpe.slices(np.diff(begin), SLICE):
+                owner, shingle, weight = bags(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a])
+                size = np.bincount(owner, weights=weight, minlength=b - a).astype(np.int64)
+                columns = [pa.array(x) for x in (ids[a + owner], shingle.view(np.int64), weight.astype(np.int64), size[owner])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "shingle", "n", "size"])
+        trim()
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingle long, n long, size long")
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, s): the similarity of each pair of doc_ids. Only texts that are in a pair are moved."""
+    short_batches(docs.sparkSession)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     degrees = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     stat = degrees.agg(F.sum("n").alias("pairs"), F.max("n").alias("most")).first()
     met = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
@@ -281,7 +318,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         trim()
 
     found = written(met.mapInArrow(run, "a long, b long, s double"), "near-similar")
-    discard(ids, texts)
+    discard(texts)
     return found
 
 
@@ -319,19 +356,25 @@ def classes(docs: DataFrame) -> DataFrame:
     checked = verify(members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), docs)
     near = checked.where(F.col("s") >= SIMILAR)
     root = written(components(near), "near-roots")
-    done = checked
+    done, open_, texts, held = checked, members, None, None
     for turn in range(ROUNDS + 1):
-        left = _unsettled(members, root, checked)
+        left = _unsettled(open_, root, checked)
+        if texts is None:
+            texts = _texts(left.select("id"), docs)
+            held = written(shingles(texts), "near-shingles")
+        before, left = left, _linkable(left, held)
+        discard(before, *([] if open_ is members else [open_]))
+        open_ = left
         sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if not sizes[0]:
-            discard(left)
             break
-        last = sizes[1] <= LEFT * sizes[0] or turn == ROUNDS
-        pairs = _across(left) if last else _stars(left, turn)
+        most = LEFT * sizes[0]
+        last = turn == ROUNDS or sizes[1] <= most or sizes[1] <= COMPARE * most and _across(left).count() <= most
+        pairs = _across(left).distinct() if last else _stars(left, turn)
         pairs = written(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"), "near-pairs")
-        found = verify(pairs, docs)
+        found = verify(pairs, texts.withColumnRenamed("id", "doc_id"))
         before, done = done, written(done.union(found), "near-done")
-        discard(left, pairs, *([] if before is checked else [before]))
+        discard(pairs, *([] if before is checked else [before]))
         near = done.where(F.col("s") >= SIMILAR)
         if found.where(F.col("s") >= SIMILAR).limit(1).count():
             before, root = root, written(components(near), "near-roots")
@@ -339,7 +382,7 @@ def classes(docs: DataFrame) -> DataFrame:
         discard(found)
         if last:
             break
-    discard(members, checked, *([] if done is checked else [done]))
+    discard(members, checked, open_, texts, held, *([] if done is checked else [done]))
     own = every.select("doc_id", "h1", "h2").join(stands, ["h1", "h2"])
     own = own.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     alone = docs.where("doc_id IS NULL OR text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
@@ -348,19 +391,49 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _unsettled(members: DataFrame, root: DataFrame, checked: DataFrame) -> DataFrame:
     """(key, id, root, s): members of buckets that hold several classes, with the similarity to the centre."""
-    known = members.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_ = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    known = known.join(open_, "key")
-    s = checked.select(F.col("a").alias("id"), F.col("b").alias("centre"), "s")
-    known = known.join(s, ["id", "centre"], "left").select("key", "id", "root", F.coalesce("s", F.lit(1.0)).alias("s"))
-    return written(known, "near-unsettled")
+    known = members.drop("root").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    known = known.join(_several(known), "key")
+    if "s" not in members.columns:
+        s = checked.select(F.col("a").alias("id"), F.col("b").alias("centre"), "s")
+        known = known.join(s, ["id", "centre"], "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
+    return written(known.select("key", "id", "root", "s"), "near-unsettled")
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """Keys of the buckets that hold several classes."""
+    return members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+
+
+def _linkable(left: DataFrame, held: DataFrame) -> DataFrame:
+    """`left` with `size`, that of the text's bag, `shared`, how much of it other classes may hold, and `bins`, the same by
+    bins, less members that share too little for any link and buckets that hold one class then. If an id has several
+    texts, `size` is the least one's and the others are of them all."""
+    roots = written(left.select("id", "root").distinct(), "near-classes")
+    few = roots.count() <= MOST_IDS
+    rows = written(held.join(F.broadcast(roots) if few else roots, "id"), "near-held")
+    common = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("rows"))
+    common = written(common.where("x < y").select("shingle", "rows"), "near-common")
+    met = join_hot(rows, common, "shingle", rows.count(), "rows")
+    met = met.groupBy("id", F.pmod("shingle", F.lit(BINS)).cast("int").alias("bin")).agg(F.min("size").alias("size"), F.sum("n").cast("int").alias("n"))
+    met = met.groupBy("id").agg(F.min("size").alias("size"), F.sum("n").alias("shared"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    met = met.where(F.col("shared") >= SIMILAR * F.col("size") - 1e-9)
+    met = met.withColumn("bins", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))).drop("m")
+    met = written(left.join(met, "id"), "near-met")
+    out = written(met.join(_several(met), "key"), "near-linkable")
+    discard(roots, rows, common, met)
+    return out
 
 
 def _across(left: DataFrame) -> DataFrame:
-    """Pairs (a > b) of different classes in a bucket that may be similar by the triangle inequality."""
+    """Pairs (a > b) of different classes that may be similar by what they share and by the triangle inequality, once for
+    each bucket."""
     u, v = left.alias("u"), left.alias("v")
     may = (F.col("u.key") == F.col("v.key")) & (F.col("u.root") < F.col("v.root")) & (F.abs(F.col("u.s") - F.col("v.s")) <= 1 - SIMILAR + 1e-9)
-    return u.join(v, may).select(F.greatest("u.id", "v.id").alias("a"), F.least("u.id", "v.id").alias("b")).distinct()
+    least = SIMILAR / (1 + SIMILAR) * (F.col("u.size") + F.col("v.size")) - 1e-9
+    # The cheaper bound first: the other is only worked out where that one holds.
+    may &= F.least("u.shared", "v.shared") >= least
+    may &= F.aggregate(F.zip_with("u.bins", "v.bins", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x) >= least
+    return u.join(v, may).select(F.greatest("u.id", "v.id").alias("a"), F.least("u.id", "v.id").alias("b"))
 
 
 def _stars(left: DataFrame, turn: int) -> DataFrame:
