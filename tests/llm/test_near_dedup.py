@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -198,3 +199,51 @@ def test_bound_holds_for_cut_and_nested_texts(spark):
     rng.shuffle(rows)
     docs = spark.createDataFrame([(*r, "") for r in rows], SCHEMA)
     assert {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()} == brute(rows)
+
+
+def open_members(n, keys, seed):
+    """Rows of `_across`: members of `keys` buckets whose bounds hold for some pairs and fail for others."""
+    rng = np.random.default_rng(seed)
+    kinds, rows = rng.integers(0, 4, (2, near_dedup.BINS)), []
+    for i in range(n):
+        own = rng.random(near_dedup.BINS) < rng.uniform(0, 0.3)
+        bins = np.where(own, rng.integers(0, 4, near_dedup.BINS), kinds[i % 2]).tolist()
+        size = sum(bins) + int(rng.integers(0, 30))
+        rows += [(int(k), i, i - i % 3, float(rng.uniform(0.5, 1)), size, sum(bins), bins) for k in rng.choice(keys, 2, replace=False)]
+    return rows
+
+
+OPEN = "key long, id long, root long, s double, size long, shared long, bins array<int>"
+
+
+def may_link(rows):
+    """The pairs of `_across` one by one, once for each bucket."""
+    pairs, least = [], lambda u, v: 0.8 / 1.8 * (u[4] + v[4]) - 1e-9
+    for x, u in enumerate(rows):
+        for v in rows[:x]:
+            if u[0] == v[0] and u[2] != v[2] and abs(u[3] - v[3]) <= 0.2 + 1e-9 and min(u[5], v[5]) >= least(u, v) and sum(map(min, u[6], v[6])) >= least(u, v):
+                pairs.append((max(u[1], v[1]), min(u[1], v[1])))
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize(("many", "part"), [(64, 2048), (1, 7), (1, 2048), (20, 5)])
+def test_pairs_of_small_and_large_buckets(spark, monkeypatch, many, part):
+    monkeypatch.setattr(near_dedup, "MANY", many)
+    monkeypatch.setattr(near_dedup, "PART", part)
+    rows = open_members(60, 4, 3)
+    want = may_link(rows)
+    got = near_dedup._across(spark.createDataFrame(rows, OPEN)).collect()
+    assert sorted((r.a, r.b) for r in got) == want
+    assert 0 < len(want) < len(rows) * 14
+
+
+def test_large_bucket_is_compared_as_arrays(spark):
+    """Comparing these 4.5 million pairs row by row took minutes."""
+    flat = [2] * near_dedup.BINS
+    rows = [(1, i, i, 0.9, 272, 256, flat if i < 2 else [4 * ((i + k) % 2) for k in range(near_dedup.BINS)]) for i in range(3000)]
+    left = spark.createDataFrame(rows, OPEN).localCheckpoint()
+    began = time.monotonic()
+    got = near_dedup._across(left).groupBy().count().first()[0]
+    odd = 1499
+    assert got == 1 + odd * (odd - 1)  # the two flat ones, and those of each parity among themselves
+    assert time.monotonic() - began < 30

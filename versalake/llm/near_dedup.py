@@ -25,7 +25,8 @@ settled. In the others only pairs of different classes are left, less those that
 
 The rest is verified as well, all of it, so no link inside a bucket is lost; before that, further rounds with other
 centres contract classes while the pairs left are more than `LEFT` times the members. They are counted where that is
-cheaper than verifying as many; else all pairs of a bucket count.
+cheaper than verifying as many; else all pairs of a bucket count. Buckets of over `MANY` members are compared as arrays,
+in parts.
 
 *Verification* counts both texts' shingles exactly: hashes only sort words and shingles, those of one hash are compared
 themselves. Classes are connected components, found by large-star and small-star steps over tables.
@@ -60,6 +61,10 @@ LEFT, ROUNDS = 4, 4
 #: Rows of a bucket that are compared by their numbers in about the time that it takes to verify a pair.
 COMPARE = 1000
 BINS = 128
+#: Members of a bucket that are compared by a join; those of larger ones are compared as arrays, so many by so many.
+MANY, PART = 64, 2048
+#: Rows of a part, and pairs' bins, that are compared at once.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 14
 #: Bytes of text that are hashed at a time: their processes and points are held at once, at some hundred bytes a word.
 SLICE = 1 << 19
 #: Words of more bytes are hashed one by one.
@@ -426,14 +431,46 @@ def _linkable(left: DataFrame, held: DataFrame) -> DataFrame:
 
 def _across(left: DataFrame) -> DataFrame:
     """Pairs (a > b) of different classes that may be similar by what they share and by the triangle inequality, once for
-    each bucket."""
-    u, v = left.alias("u"), left.alias("v")
+    each bucket. Rows of small buckets meet in a join; larger ones are cut into parts of about `PART` members by a hash,
+    and every two parts are compared as arrays, in a task of their own."""
+    sized = left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("members")), "key")
+    few = sized.where(F.col("members") <= MANY).drop("members")
+    u, v = few.alias("u"), few.alias("v")
     may = (F.col("u.key") == F.col("v.key")) & (F.col("u.root") < F.col("v.root")) & (F.abs(F.col("u.s") - F.col("v.s")) <= 1 - SIMILAR + 1e-9)
     least = SIMILAR / (1 + SIMILAR) * (F.col("u.size") + F.col("v.size")) - 1e-9
     # The cheaper bound first: the other is only worked out where that one holds.
     may &= F.least("u.shared", "v.shared") >= least
     may &= F.aggregate(F.zip_with("u.bins", "v.bins", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x) >= least
-    return u.join(v, may).select(F.greatest("u.id", "v.id").alias("a"), F.least("u.id", "v.id").alias("b"))
+    met = u.join(v, may).select(F.greatest("u.id", "v.id").alias("a"), F.least("u.id", "v.id").alias("b"))
+    short_batches(left.sparkSession)
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    many = sized.where(F.col("members") > MANY).withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    many = many.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "s", "size", "shared", "bins")
+    return met.union(many.groupBy("key", "i", "j").applyInArrow(_compare, "a long, b long"))
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """The pairs of `_across` between parts i and j of a bucket; i = j: inside of it."""
+    part, ids, root, s, size, shared = (rows.column(c).to_numpy() for c in ("part", "id", "root", "s", "size", "shared"))
+    bins = rows.column("bins").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
+    low, high = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    one, two = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    found = [np.empty((2, 0), np.int64)]
+    half = SIMILAR / (1 + SIMILAR)
+    for at in range(0, len(one), ROWS_AT_ONCE):
+        u = one[at : at + ROWS_AT_ONCE]
+        may = (root[u][:, None] != root[two]) & (np.abs(s[u][:, None] - s[two]) <= 1 - SIMILAR + 1e-9)
+        may &= np.minimum(shared[u][:, None], shared[two]) >= half * (size[u][:, None] + size[two]) - 1e-9
+        if low == high:
+            may &= u[:, None] < two
+        x, y = np.nonzero(may)
+        for k in range(0, len(x), PAIRS_AT_ONCE):
+            p, q = u[x[k : k + PAIRS_AT_ONCE]], two[y[k : k + PAIRS_AT_ONCE]]
+            ok = np.minimum(bins[p], bins[q]).sum(axis=1) >= half * (size[p] + size[q]) - 1e-9
+            found.append(np.stack([ids[p[ok]], ids[q[ok]]]))
+    pairs = np.concatenate(found, axis=1)
+    return pa.table({"a": pairs.max(axis=0), "b": pairs.min(axis=0)})
 
 
 def _stars(left: DataFrame, turn: int) -> DataFrame:
