@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 import versalake as v
 from versalake import errors as E
+from versalake.functions.text import ASCII, Analyser
+from versalake.operators.text_index import TextIndex
 
 
 @pytest.fixture
@@ -120,3 +122,34 @@ def test_stale_indexes_are_not_asked(indexed):
     assert len(ds.get_inverted_index("n").meta["parts"]) == 1 and ds.query("n", 7) == {7, 17, 27, 37, 40}
     view = ds.filter_vectorized([("n", ">", 6)])
     assert view.filter_vectorized([("code", "==", "c2", True)]).filtered_index == [i for i in range(40) if i % 10 > 6 and i % 5 == 2] + [40]
+
+
+def test_postings_a_task_writes_are_bounded(spark, tmp_path):
+    """No task sorts a fixed share of all postings, neither when rows are added nor when shards are merged."""
+
+    def most(index):
+        """The most postings that one task wrote of the last part. Its number stands in the files' names."""
+        task = F.regexp_extract(F.input_file_name(), r"part-(\d+)-[^/]*$", 1)
+        counts = spark.read.parquet(index.meta["parts"][-1]).groupBy(task.alias("task")).count()
+        return counts.agg(F.max("count"), F.sum("count")).first()
+
+    small = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    words = "the quick brown fox jumps over lazy dogs while seven wise owls watch from old trees near our barn".split()
+    rows = spark.range(0, 12_000, 1, 8).select(F.col("id").alias("pos"), F.concat_ws(" ", F.array(*(F.lit(w) for w in words))).alias("text"))
+    try:
+        for k, value in small.items():
+            spark.conf.set(k, value)
+        index = TextIndex.create(rows.where("pos % 4 <> 1"), f"file://{tmp_path}/index", "text", "pos", analyser=Analyser(ASCII), shards=3)
+        n, every = most(index)
+        assert every == 9_000 * len(words) and n < every / 24
+        index.append(rows.where("pos % 4 = 1"))
+        index.reshard(2)
+        n, every = most(index)
+        assert every == 12_000 * len(words) and n < every / 16
+        assert len(index.meta["parts"]) == 1
+        assert [r[0] for r in index.search("owls the").orderBy("pos").collect()] == list(range(12_000))
+        assert {r[0] for r in index.rows().where("token = 'fox'").select("shard").distinct().collect()} <= {0, 1}
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)

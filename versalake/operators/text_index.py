@@ -17,7 +17,7 @@ from versalake.functions.text import Analyser
 from versalake.store.files import Files
 
 
-#: Tasks that a shard's postings are written by, at most.
+#: Groups that a shard's postings are cut into, at least; there are more where the session has more shuffle partitions.
 SPREAD = 8
 
 
@@ -79,9 +79,12 @@ class TextIndex:
 
     def _write(self, rows: DataFrame, name: str) -> None:
         path = f"{self.path}/{name}"
-        out = rows.withColumn("shard", self._shard(F.col("token")))
-        # A frequent token's postings are spread by position, so that no task writes all of them.
-        out.repartition("shard", F.pmod(F.xxhash64("pos"), F.lit(SPREAD))).sortWithinPartitions("shard", "token", "pos").write.partitionBy("shard").parquet(path)
+        # A frequent token's postings are spread by position, so that no task writes all of them. The groups are rebalanced:
+        # adaptive execution joins small ones and splits large ones, so a task sorts no more the larger the input is.
+        spread = max(SPREAD, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.meta["shards"]))
+        group = self._shard(F.col("token")) * spread + F.pmod(F.xxhash64("pos"), F.lit(spread)).cast("int")
+        out = rows.withColumn("_group", group).hint("rebalance", F.col("_group")).select("token", "pos", F.expr(f"int(_group div {spread})").alias("shard"))
+        out.sortWithinPartitions("shard", "token", "pos").write.partitionBy("shard").parquet(path)
         self.meta["parts"].append(path)
 
     def append(self, df: DataFrame, commit: str | None = None) -> None:
